@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import bpe, spans
+from larder.llm import bpe, mixing, spans
 from larder.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,16 @@ def p7_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 ORACLES["p7_roundtrip"] = "SELECT doc_id, true AS same FROM documents"
 
 
+@query
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "source_weights")).slots
+
+
+@query
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "source_weights")).shares
+
+
 @query
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(table(spark, d, "documents"))

@@ -112,7 +112,7 @@ def shared_spans(df: DataFrame, text: str = "text", key: str = "doc_id", span: i
     texts share all of them. `key` must be unique and not null. Any length of text, and any number of records that
     hold one passage, keeps its exact result: nothing is capped, and of equal runs of windows each task sends two.
     """
-    gram = max(1, span // 4)
+    gram = max(1, span // 3)
     kind = df.schema[key].dataType.simpleString()
     docs = df.select(F.col(key).alias("__key"), F.col(text).alias("__text")).where(F.length("__text") >= span)
 

@@ -173,7 +173,8 @@ def mix_sources(
     packed = part.groupBy("source", "block").agg(F.sort_array(F.collect_list("p")).alias("p"))  # a block holds at most `block` parts
     packed = packed.select("source", "block", F.expr(f"transform(p, x -> named_struct('{key}', x.`{key}`, 'from', x.from, 'to', x.to))").cast(f"array<struct<`{key}`:{kind},`from`:bigint,`to`:bigint>>").alias("parts"))
     packed = packed.withColumn("n_tokens", F.expr("aggregate(parts, 0L, (a, x) -> a + x.to - x.from)"))
-    slots = slot.join(packed, ["source", "block"]).select("shard", "slot", "source", "epoch", "block", "n_tokens", "parts")
+    # Neither side has a bound, and the planner can't see how far the slots unfold: no broadcast.
+    slots = slot.hint("merge").join(packed, ["source", "block"]).select("shard", "slot", "source", "epoch", "block", "n_tokens", "parts")
 
     # The last block of a source is short; how often it is used follows from the same permutations, by counting the slots.
     short = {i: int(tokens[i] - (blocks[i] - 1) * block) for i in range(len(few)) if blocks[i]}

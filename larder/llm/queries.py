@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import bpe, mixing, spans
+from larder.llm import bpe, canonical, copies, lookalike, mixing, spans
 from larder.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,55 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "products_ingredients").where("matchable")
+    return canonical.map_to_list(rows, table(spark, d, "foodex2_terms")).select("row_id", "term_code")
+
+
+@query
+def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Values that are not in the list, and how often they come."""
+    rows = table(spark, d, "products_ingredients").where("matchable")
+    got = canonical.map_to_list(rows, table(spark, d, "foodex2_terms"), keys=("row_id", "ingredient"))
+    return got.where(F.col("term_code") == canonical.NONE).groupBy("ingredient").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return copies.copies(table(spark, d, "products_ingredients"))
+
+
+ORACLES["p4_found"] = r"""
+WITH k AS (
+  SELECT row_id, code, list_sort(regexp_extract_all(lower(ingredient), '[\p{L}\p{Nd}]+')) AS words
+  FROM products_ingredients WHERE code IS NOT NULL AND ingredient IS NOT NULL),
+g AS (SELECT row_id, min(row_id) OVER (PARTITION BY code, words) AS keep_row_id FROM k)
+SELECT keep_row_id, row_id AS copy_row_id FROM g WHERE row_id <> keep_row_id
+"""
+
+
+@query
+def p4_counts(spark: SparkSession, d: str) -> DataFrame:
+    """One record of each and its number of copies."""
+    return copies.count_copies(table(spark, d, "products_ingredients")).select(F.col("keep").alias("row_id"), "copies")
+
+
+ORACLES["p4_counts"] = r"""
+WITH k AS (
+  SELECT row_id, code, list_sort(regexp_extract_all(lower(ingredient), '[\p{L}\p{Nd}]+')) AS words
+  FROM products_ingredients WHERE code IS NOT NULL AND ingredient IS NOT NULL)
+SELECT min(row_id) AS row_id, count(*) AS copies FROM k GROUP BY code, words
+"""
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "products_ingredients").select(F.lit("ingredient").alias("field"), "row_id", F.col("ingredient").alias("value"))
+    b = table(spark, d, "products_with_language1").select(F.lit("product_name").alias("field"), "row_id", F.col("product_name").alias("value"))
+    return lookalike.plain_values(a.unionByName(b), "value", ("field", "row_id"))
+
+
 @query
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import bpe, canonical, copies, lookalike, mixing, spans
+from larder.llm import bpe, canonical, copies, langid, lookalike, mixing, spans
 from larder.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,28 @@ def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return got.where(F.col("term_code") == canonical.NONE).groupBy("ingredient").agg(F.count(F.lit(1)).alias("n"))
 
 
+_FIELDS = (("ingredients_text", "lang_ingredients_text"), ("product_name", "lang_product_name"))
+
+
+def _language_filters(spark: SparkSession, d: str) -> langid.Filters:
+    return langid.learn(table(spark, d, "products_with_language1"), table(spark, d, "lang_samples"), _FIELDS)
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    rows, filters = table(spark, d, "products_with_language1"), _language_filters(spark, d)
+    a = langid.label_cases(rows, "ingredients_text", "lang_ingredients_text", filters)
+    b = langid.label_cases(rows, "product_name", "lang_product_name", filters, mixed=False)
+    return a.select(F.lit("ingredients_text").alias("field"), "row_id", "seg_no", "lang").unionByName(b.select(F.lit("product_name").alias("field"), "row_id", "seg_no", "lang"))
+
+
+@query
+def p3_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Language, confidence and size of each segment of each label text."""
+    rows = table(spark, d, "products_with_language1")
+    return langid.identify(rows, "ingredients_text", _language_filters(spark, d)).withColumn("confidence", F.round("confidence", 6))
+
+
 @query
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.copies(table(spark, d, "products_ingredients"))

@@ -240,12 +240,14 @@ def term_key(c: Column, normal: bool = False) -> Column:
 
 def spelling_variants(c: Column) -> Column:
     """M2: closure over British and American spellings, pair by pair, as an array. `skimmed` also gives `skimmedmed`, as the pairs overlap."""
-    out = F.array(c)
-    for british, american in SPELLINGS:
-        from_b = F.transform(F.filter(out, lambda x: x.contains(british)), lambda x: F.replace(x, F.lit(british), F.lit(american)))
-        from_a = F.transform(F.filter(out, lambda x: x.contains(american)), lambda x: F.replace(x, F.lit(american), F.lit(british)))
-        out = F.array_union(out, F.array_union(from_b, from_a))
-    return out
+    pairs = F.array(*(F.struct(F.lit(british).alias("b"), F.lit(american).alias("a")) for british, american in SPELLINGS))
+
+    def widen(seen: Column, p: Column) -> Column:
+        from_b = F.transform(F.filter(seen, lambda x: x.contains(p["b"])), lambda x: F.replace(x, p["b"], p["a"]))
+        from_a = F.transform(F.filter(seen, lambda x: x.contains(p["a"])), lambda x: F.replace(x, p["a"], p["b"]))
+        return F.array_union(seen, F.array_union(from_b, from_a))
+
+    return F.aggregate(pairs, F.array(c), widen)
 
 
 def comma_variants(c: Column, normal: bool = False) -> Column:
@@ -257,7 +259,7 @@ def comma_variants(c: Column, normal: bool = False) -> Column:
 
 
 def token_set(c: Column, normal: bool = False) -> Column:
-    return F.array_distinct(words(F.regexp_replace(lookup_key(c, normal), r"(?U)[^\w\s]", " ")))
+    return F.array_distinct(words(F.regexp_replace(lookup_key(c, normal), r"(?U)[^\p{L}\p{N}_\s]", " ")))
 
 
 def token_jaccard(a: Column, b: Column, normal: bool = False) -> Column:

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from larder.plans import match_queries, report_queries, text_queries  # noqa: F401
+from larder.plans import lexical_queries, match_queries, report_queries, text_queries  # noqa: F401
 from larder.plans.registry import ORACLES, QUERIES  # noqa: F401

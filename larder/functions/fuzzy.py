@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
@@ -62,6 +63,14 @@ def weighted(a: str, b: str) -> float:
     return max(best, scale * partial(a, b), 0.95 * scale * token_set(a, b))
 
 
+def weighted_bound(shared: np.ndarray, n: int, m: np.ndarray) -> np.ndarray:
+    """The most that weighted() can give two strings of lengths n and m that have `shared` letters, in any order, and no word in common."""
+    low, high = np.minimum(n, m), np.maximum(n, m)
+    plain = 200.0 * shared / np.maximum(1, n + m)
+    part = np.where(high >= 8 * low, 60.0, 90.0) * np.minimum(1.0, shared / np.maximum(1, low))
+    return np.where(high < 1.5 * low, plain, np.maximum(plain, part)) + 1e-9
+
+
 def common_substring(a: str, b: str) -> str:
     """The longest common substring, the first in a of several."""
     if not a or not b:

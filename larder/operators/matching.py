@@ -6,6 +6,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,12 +49,13 @@ def exact(queries: DataFrame, var: DataFrame, query: str = "ingredient") -> Data
     return q.join(var, "variant").groupBy(query, "variant").agg(F.min(F.struct("term", "name")).alias("t")).select(query, "variant", "t.term", "t.name")
 
 
-def fuzzy_candidates(queries: DataFrame, var: DataFrame, params: MatchParams = MatchParams(), query: str = "ingredient", scorer=fuzzy.weighted) -> DataFrame:
+def fuzzy_candidates(queries: DataFrame, var: DataFrame, params: MatchParams = MatchParams(), query: str = "ingredient", scorer=fuzzy.weighted, bound=fuzzy.weighted_bound) -> DataFrame:
     """Query, term, name, variant, score (0 to 100): of the best `top_variants` variants at or above the
     cutoff the best one of each term, at most `top_terms` terms; ties by variant, then term.
 
-    Only variants that share a word or three letters with the query are scored. Give distinct queries: a query is
-    scored as often as it comes. Null queries give nothing.
+    Only variants that share a word or three letters in a row with the query are scored, and of those that share no
+    word only the ones whose letters, in any order, could reach the cutoff by `bound`. Give distinct queries: a query
+    is scored as often as it comes. Null queries give nothing.
     """
     held = var.select("term", "name", "variant").orderBy("variant", "term").limit(MOST_VARIANTS + 1).toPandas()
     if len(held) > MOST_VARIANTS:
@@ -63,20 +65,33 @@ def fuzzy_candidates(queries: DataFrame, var: DataFrame, params: MatchParams = M
     # Few bytes but much work a row: spread before scoring, as the planner would put them into one task.
     few = few.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "q")
 
-    def parts(s: str) -> set[str]:
-        return {*s.split(), *(s[i : i + 3] for i in range(len(s) - 2))}
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = shared.value
         index: dict[str, list[int]] = defaultdict(list)
         for i, (_, _, v) in enumerate(rows):
-            for p in parts(v):
+            for p in {*v.split(), *(v[j : j + 3] for j in range(len(v) - 2))}:
                 index[p].append(i)
+        letters = sorted({c for _, _, v in rows for c in v})
+        place = {c: i for i, c in enumerate(letters)}
+        count = np.zeros((len(rows), len(letters) + 1), np.int16)
+        for i, (_, _, v) in enumerate(rows):
+            for c in v:
+                count[i, place[c]] += 1
+        size = np.array([max(1, len(v)) for _, _, v in rows])
         for b in batches:
             out = []
             for q, k in zip(b["q"], b["k"]):
-                near = {i for p in parts(k) for i in index.get(p, ())}
-                scored = sorted(((-s, rows[i][2], rows[i][0], rows[i][1]) for i in near if (s := scorer(k, rows[i][2])) >= params.cutoff))[: params.top_variants]
+                found = [index[p] for p in {*k.split(), *(k[j : j + 3] for j in range(len(k) - 2))} if p in index]
+                near = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+                if bound is not None and len(near):
+                    own = np.zeros(len(letters) + 1, np.int16)
+                    for c in k:
+                        own[place.get(c, -1)] += 1
+                    own[-1] = 0
+                    most = bound(np.minimum(count[near], own).sum(axis=1), len(k), size[near])
+                    words = [index[w] for w in set(k.split()) if w in index]
+                    near = near[(most >= params.cutoff) | np.isin(near, np.concatenate(words) if words else [])]
+                scored = sorted(((-s, rows[i][2], rows[i][0], rows[i][1]) for i in near.tolist() if (s := scorer(k, rows[i][2])) >= params.cutoff))[: params.top_variants]
                 seen: dict[str, tuple] = {}
                 for s, v, t, n in scored:
                     seen.setdefault(t, (q, t, n, v, -s))

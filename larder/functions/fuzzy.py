@@ -64,7 +64,7 @@ def weighted(a: str, b: str) -> float:
 
 
 def weighted_bound(shared: np.ndarray, n: int, m: np.ndarray) -> np.ndarray:
-    """The most that weighted() can give two strings of lengths n and m that have `shared` letters, in any order, and no word in common."""
+    """The most that weighted() can give two strings of lengths n and m that have `shared` letters, in any order, single spaces, no repeated word and no word in common."""
     low, high = np.minimum(n, m), np.maximum(n, m)
     plain = 200.0 * shared / np.maximum(1, n + m)
     part = np.where(high >= 8 * low, 60.0, 90.0) * np.minimum(1.0, shared / np.maximum(1, low))

@@ -78,19 +78,20 @@ def fuzzy_candidates(queries: DataFrame, var: DataFrame, params: MatchParams = M
             for c in v:
                 count[i, place[c]] += 1
         size = np.array([max(1, len(v)) for _, _, v in rows])
+        loose = np.array([len(set(v.split())) < len(v.split()) for _, _, v in rows])  # repeated words escape the bound
         for b in batches:
             out = []
             for q, k in zip(b["q"], b["k"]):
                 found = [index[p] for p in {*k.split(), *(k[j : j + 3] for j in range(len(k) - 2))} if p in index]
                 near = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-                if bound is not None and len(near):
+                if bound is not None and len(near) and len(set(k.split())) == len(k.split()):
                     own = np.zeros(len(letters) + 1, np.int16)
                     for c in k:
                         own[place.get(c, -1)] += 1
                     own[-1] = 0
                     most = bound(np.minimum(count[near], own).sum(axis=1), len(k), size[near])
                     words = [index[w] for w in set(k.split()) if w in index]
-                    near = near[(most >= params.cutoff) | np.isin(near, np.concatenate(words) if words else [])]
+                    near = near[(most >= params.cutoff) | loose[near] | np.isin(near, np.concatenate(words) if words else [])]
                 scored = sorted(((-s, rows[i][2], rows[i][0], rows[i][1]) for i in near.tolist() if (s := scorer(k, rows[i][2])) >= params.cutoff))[: params.top_variants]
                 seen: dict[str, tuple] = {}
                 for s, v, t, n in scored:

@@ -43,7 +43,7 @@ def clean_field(name: str) -> Field:
 
 def share_field(name: str) -> Field:
     """Empty, or digits with an optional point and more digits, at most 1.1."""
-    number = r"(?:0++(?:\.[0-9]++)?+|0*+1(?:\.(?:0[0-9]*+|10*+))?+)?+"
+    number = r"(?:0*+1(?:\.(?:0[0-9]*+|10*+))?+|0++(?:\.[0-9]++)?+)?+"
     return Field(name, number, number, "double")
 
 

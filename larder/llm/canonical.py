@@ -159,8 +159,11 @@ class Matcher:
         if covered and not rest and len(codes) == 1:
             return codes.pop(), "mention"
         kept = [w for w in words if w not in self.praise]
-        if not kept or any(c.isdigit() for w in kept for c in w):
+        if not kept:
             return NONE, "none"
+        if any(c.isdigit() for w in kept for c in w):
+            code = self.glued.get("".join(kept))
+            return (code, "joined") if code else (NONE, "none")
         got = self.similar(kept)
         if got[0] == NONE:  # a slip in the ending may have misled the singular
             whole = [w for w in words_of(self.plain(value)) if singular(w) not in self.praise]
@@ -238,8 +241,8 @@ def map_to_list(
     """keys, `out` (a code of the list, or NONE) and `how`: mention, joined, similar or none.
 
     Null, empty and blank values are NONE, and all values if the list is empty. Names that two codes share go to the
-    one with the shorter, then smaller name. Repeated values are looked up once per worker; no shuffle. Fuzzy steps
-    never touch values with digits.
+    one with the shorter, then smaller name. Repeated values are looked up once per worker; no shuffle. Values with
+    digits must agree letter by letter, spaces aside.
     """
     shared = df.sparkSession.sparkContext.broadcast(reference_names(terms, code, name, aliases))
     few = df.select(*keys, df[value].alias("__value"))

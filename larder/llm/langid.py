@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -197,7 +199,8 @@ def learn(rows: DataFrame, samples: DataFrame, fields: tuple[tuple[str, str], ..
     reader = Reader(Filters.learn(base))
     known = sorted(set(few["lang"]))
     cols = [F.col(c) for pair in fields for c in pair]
-    got = rows.where(F.greatest(*(F.col(label).isin(known).cast("int") for _, label in fields)) == 1).orderBy(F.xxhash64(key), key).select(*cols).limit(sample_rows).toPandas()
+    labelled = reduce(or_, (F.coalesce(F.col(label).isin(known), F.lit(False)) for _, label in fields))
+    got = rows.where(labelled).orderBy(F.xxhash64(key), key).select(*cols).limit(sample_rows).toPandas()
     for text, label in fields:
         ok = got[text].notna() & got[label].isin(known)
         texts, labels = [reader.plain(t) for t in got[text][ok]], got[label][ok].tolist()
@@ -235,7 +238,7 @@ def identify(df: DataFrame, text: str, filters: Filters, keys: tuple[str, ...] =
                 for k, (x, c, n) in enumerate(segs):
                     who.append(i), no.append(k), lang.append(x), conf.append(c), size.append(n), of.append(len(segs))
             out = b.drop(columns="__text").iloc[who].reset_index(drop=True)
-            yield out.assign(seg_no=np.array(no, np.int32), lang=lang, confidence=np.array(conf, float), n_values=np.array(size, np.int32), n_segments=np.array(of, np.int32))
+            yield out.assign(seg_no=np.array(no, np.int32), lang=np.array(lang, object), confidence=np.array(conf, float), n_values=np.array(size, np.int32), n_segments=np.array(of, np.int32))
 
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     return few.mapInPandas(run, f"{kinds}, seg_no int, lang string, confidence double, n_values int, n_segments int")

@@ -12,7 +12,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import permutations, product
+from itertools import permutations
 
 import pandas as pd
 import pyarrow as pa
@@ -117,6 +117,11 @@ class Matcher:
                     self.glued.setdefault("".join(order), code)
         self.find.make_automaton() if len(self.find) else None
         self.vocabulary = set(freq)
+        self.longest = max(map(len, self.sets), default=0)
+        self.having: dict[str, list[tuple[str, ...]]] = defaultdict(list)
+        for key in self.sets:
+            for w in set(key):
+                self.having[w].append(key)
         self.common = {w for w, codes in freq.items() if len(codes) >= 12}
         self.starts: dict[str, list[str]] = defaultdict(list)
         for w in sorted(self.vocabulary):
@@ -170,6 +175,18 @@ class Matcher:
             got = self.similar(whole) if whole != kept else got
         return got
 
+    @staticmethod
+    def _greedy(options: list[dict[str, float]], key: tuple[str, ...]) -> float:
+        """Price of pairing long names word by word, the words with the fewest choices first."""
+        left, total = list(key), 0.0
+        for o in sorted(options, key=len):
+            fit = min(((o[v], v) for v in left if v in o), default=None)
+            if fit is None:
+                return 9.0
+            total += fit[0]
+            left.remove(fit[1])
+        return total
+
     def mentions(self, words: list[str]) -> list[tuple[str, int, int]]:
         """(code, words, first word) of the longest names that don't overlap."""
         text = " " + " ".join(words) + " "
@@ -202,8 +219,10 @@ class Matcher:
                 if price < 9:
                     best = (price, self.glued[f])
                 break
-        options = []
-        for w in words[:8]:
+        if len(words) > self.longest:
+            return (best[1], "similar") if best else (NONE, "none")
+        options: list[dict[str, float]] = []
+        for w in words:
             mine = {w: 0.0} if w in self.vocabulary else {}
             for v in {v for x in self._losses(w) for v in self.word_loss.get(x, ())} if len(w) > 2 else ():
                 if (price := one_edit(w, v)) < 9:
@@ -211,13 +230,17 @@ class Matcher:
             for v in self.starts.get(w[0], ()):
                 if abbreviates(w, v):
                     mine[v] = min(0.9 if v in self.common else 1.1, mine.get(v, 9.0))
-            options.append(sorted(mine.items(), key=lambda x: (x[1], x[0]))[:12])
-        if len(words) <= 8 and all(options):
-            for pick in product(*options):
-                price = sum(p for _, p in pick)
-                code = self.sets.get(tuple(sorted(v for v, _ in pick)))
-                if code and (best is None or (price, code) < best):
-                    best = (price, code)
+            options.append(mine)
+        # Names that have as many words and, for each word of the value, one that agrees with it.
+        near = None
+        for mine in options:
+            here = {key for v in mine for key in self.having[v]}
+            near = here if near is None else near & here
+        for key in near or ():
+            if len(key) == len(words):
+                price = min((sum(o[v] for o, v in zip(options, order)) for order in permutations(key) if all(v in o for o, v in zip(options, order))), default=9.0) if len(key) <= 6 else self._greedy(options, key)
+                if price < 9 and (best is None or (price, self.sets[key]) < best):
+                    best = (price, self.sets[key])
         return (best[1], "similar") if best else (NONE, "none")
 
 

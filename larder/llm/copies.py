@@ -64,11 +64,14 @@ _COUNTED = "canon string, copies long, keep long"
 
 
 def _buckets(keys: DataFrame, fits: int) -> DataFrame:
-    """keys with `bucket`, the shortest prefix (from the common one on, by STEP characters) that not more than `fits` records share."""
+    """keys with `bucket`, the shortest prefix (from the common one on, by STEP characters) that not more than `fits`
+    records share. If all records fit into one bucket, the first prefixes spread them over the tasks."""
     ends = keys.agg(F.min("canon").alias("a"), F.max("canon").alias("b"), F.max(F.length("canon")).alias("n"), F.count(F.lit(1)).alias("all")).head()
-    if not ends["all"] or ends["all"] <= fits:
+    if not ends["all"]:
         return keys.withColumn("bucket", F.lit(""))
     same = next((i for i, (x, y) in enumerate(zip(ends.a, ends.b)) if x != y), min(len(ends.a), len(ends.b)))
+    if ends["all"] <= fits:
+        return keys.withColumn("bucket", F.substring("canon", 1, same + 2 * STEP))
     bucket, todo, size = F.lit(None).cast("string"), keys.select("canon"), same + STEP
     labelled = keys
     while size < ends.n + STEP:
@@ -98,8 +101,6 @@ def count_copies(df: DataFrame, code: str = "code", text: str = "ingredient", ke
     keys = materialise(rows.mapInArrow(lambda b: _count(b, by_bucket=False), _COUNTED))
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = _buckets(keys, fits)
-    if "bucket" in spread.columns and spread.select("bucket").limit(2).distinct().count() < 2:
-        spread = keys.withColumn("bucket", F.substring("canon", 1, 13))  # all fit in one: spread them for the tasks alone
     return spread.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _count(b, by_bucket=True), _COUNTED)
 
 

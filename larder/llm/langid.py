@@ -92,12 +92,13 @@ class Reader:
                 self.memo.clear()
             got = np.zeros(self.n)
             bits = np.arange(self.n)
-            for g, weight in grams(word[:60]):
+            for g, weight in grams(word):
                 mask = int(np.bitwise_and.reduce(self.f.masks[_slots(g)]))
                 if mask:
                     hit = (mask >> bits) & 1
                     got += weight * (hit - self.f.false) / (1 - self.f.false)
-            self.memo[word] = got
+            if len(word) <= 60:
+                self.memo[word] = got
         return got
 
     def scores(self, text: str) -> np.ndarray:

@@ -164,13 +164,13 @@ class Plain:
 
 def letter_bigrams(df: DataFrame, column: str) -> dict[tuple[str, str], int]:
     """Bigrams of the one-script words of all values of `column`, for Plain. The result is bounded by the letters of
-    three scripts squared; it is counted in the executors and only the counts reach the driver."""
+    each of three scripts squared, whatever the number of values; only these counts reach the driver."""
     word = F.explode(F.regexp_extract_all(F.lower(column), F.lit(r"\p{L}+"), F.lit(0)))
     words = df.where(F.col(column).isNotNull()).select(word.alias("w")).groupBy("w").count()
     kind = F.when(F.col("w").rlike(r"^\p{IsLatin}+$"), "L").when(F.col("w").rlike(r"^\p{IsCyrillic}+$"), "C").when(F.col("w").rlike(r"^\p{IsGreek}+$"), "G")
     pairs = words.select(kind.alias("s"), "count", F.expr("concat('^', w, '$')").alias("w")).where("s is not null")
     pairs = pairs.select("s", "count", F.explode(F.expr("transform(sequence(1, length(w) - 1), i -> substring(w, i, 2))")).alias("g"))
-    rows = pairs.groupBy("s", "g").agg(F.sum("count").alias("n")).where("n > 1").orderBy(F.desc("n"), "s", "g").limit(40_000).collect()
+    rows = pairs.groupBy("s", "g").agg(F.sum("count").alias("n")).collect()
     return {(r.s, r.g): r.n for r in rows}
 
 

@@ -43,7 +43,7 @@ def allot(tokens: np.ndarray, share: np.ndarray, repeats: np.ndarray, total: flo
         return given
     weight = np.where(live, share, 0) / share[live].sum()
     if total is None:
-        with np.errstate(over="ignore"):  # a share of almost nothing sets no limit
+        with np.errstate(over="ignore", divide="ignore"):  # a share of almost nothing sets no limit
             return weight * (cap[live] / weight[live]).min()
     left, open_ = min(float(total), cap[live].sum()), live.copy()
     while open_.any() and left > 1e-9:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from larder.functions import fuzzy
+from larder.functions.text import set_jaccard as jaccard
 from larder.functions.text import words
 
 
@@ -23,11 +24,6 @@ def token_set(c: Column) -> Column:
     return F.array_distinct(words(F.lower(c)))
 
 
-def jaccard(x: Column, y: Column) -> Column:
-    """Shared over all elements of two sets; 0 if a side is empty."""
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1))).otherwise(F.lit(0.0))
-
-
 def token_jaccard(a: Column, b: Column) -> Column:
     """L3: words in lower case, punctuation kept."""
     return jaccard(token_set(a), token_set(b))

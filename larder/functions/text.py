@@ -101,7 +101,8 @@ def is_e_code(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    return F.filter(F.split(c, WS), lambda w: w != "")
+    # No lambda: the planner then computes repeated uses once.
+    return F.array_remove(F.split(c, WS), "")
 
 
 def _share_letters_beyond_latin(c: Column) -> Column:
@@ -264,5 +265,10 @@ def token_set(c: Column, normal: bool = False) -> Column:
 
 def token_jaccard(a: Column, b: Column, normal: bool = False) -> Column:
     """M8: shared words over all words of two lookup keys, punctuation aside; an empty side gives 0."""
-    x, y = token_set(a, normal), token_set(b, normal)
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1))).otherwise(F.lit(0.0))
+    return set_jaccard(token_set(a, normal), token_set(b, normal))
+
+
+def set_jaccard(x: Column, y: Column) -> Column:
+    """Shared over all elements of two arrays without repeats; 0 if a side is empty."""
+    both = F.size(F.array_intersect(x, y))
+    return F.coalesce(both / F.nullif(F.size(x) + F.size(y) - both, F.lit(0)), F.lit(0.0))

@@ -43,9 +43,8 @@ def parse_tags(df: DataFrame, column: str = "ingredients_tags", keys: tuple[str,
 
 def ingredient_rows(products: DataFrame, taxonomy: DataFrame | None = None) -> DataFrame:
     """Valid tags of products as rows of INGREDIENT_COLUMNS; English ones that are neither noise nor context are matchable."""
-    few = products.select("code", "lang_product_name", "product_name", "ingredients_tags")
-    rows = parse_tags(few, keys=("code", "lang_product_name", "product_name")).where("is_valid")
-    rows = rows.withColumn("product_context", T.clean_text(F.col("product_name")))
+    few = products.select("code", "lang_product_name", "product_name", T.clean_text(F.col("product_name")).alias("product_context"), "ingredients_tags")
+    rows = parse_tags(few, keys=("code", "lang_product_name", "product_name", "product_context")).where("is_valid")
     rows = rows.withColumn("matchable", (F.col("tag_lang") == "en") & ~F.col("is_noise_phrase") & ~F.col("is_context_term"))
     rows = with_taxonomy(rows, taxonomy) if taxonomy is not None else rows.withColumn("nlp_text", F.col("ingredient"))
     return rows.select(*INGREDIENT_COLUMNS)

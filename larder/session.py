@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -37,9 +38,30 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and return the written table, whose lineage is the files."""
+    """Write df once to the shared folder and return the written table, whose lineage is the files.
+
+    Lazy results go on reading the files, so they stay until release() or the end of the program.
+    """
     spark = df.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/larder-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    _written.append((spark, at))
     return spark.read.schema(df.schema).parquet(at)
+
+
+def release() -> None:
+    """Remove what materialise() wrote; results that read it can't be computed again."""
+    while _written:
+        spark, at = _written.pop()
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # the session has ended; its folder is its owner's
+            return
+
+
+atexit.register(release)

@@ -120,6 +120,15 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(table(spark, d, "documents"))
 
 
+ORACLES["p9_found"] = """
+WITH w AS (SELECT doc_id, i, md5_number(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+m AS (SELECT doc_id, i FROM w SEMI JOIN s USING (h))
+SELECT doc_id, CAST(sum(least(200, coalesce(nxt - i, 200))) AS BIGINT) AS shared_chars
+FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM m) GROUP BY 1
+"""
+
+
 @query
 def p9_units(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_units(table(spark, d, "documents"))

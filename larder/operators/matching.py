@@ -102,6 +102,12 @@ def fuzzy_candidates(queries: DataFrame, var: DataFrame, params: MatchParams = M
     return few.mapInPandas(run, "q string, term string, name string, variant string, score double").withColumnRenamed("q", query)
 
 
+def best_variants(candidates: DataFrame, query: str, most: int) -> DataFrame:
+    """Of each query and term the variant with the largest score, of each query at most `most` terms; ties by variant, then term."""
+    one = candidates.groupBy(query, "term").agg(F.min_by(F.struct("variant", "score"), F.struct(-F.col("score"), "variant")).alias("b")).select(query, "term", "b.*")
+    return V.ranked(one, (query,), [F.desc("score"), F.col("term")], most).drop("rank")
+
+
 def rerank_score(embedding: Column, score: Column, lexical: Column, prior: Column) -> Column:
     """M12, with the fixed weights 0.50, 0.28, 0.10 and 0.12; score from 0 to 100."""
     return 0.50 * embedding + 0.28 * (score / 100) + 0.10 * lexical + 0.12 * prior

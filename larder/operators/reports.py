@@ -174,7 +174,8 @@ def allocation(df: DataFrame, by: str, total: int, floor: int) -> DataFrame:
 def stratified(df: DataFrame, by: str, key: str, total: int, floor: int, blanks: tuple[str, ...] = ()) -> DataFrame:
     """The sample, by a hash of the key, with empty columns for a reviewer."""
     r = df.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(F.md5(F.col(key).cast("string")), F.col(key))))
-    got = r.join(F.broadcast(allocation(df, by, total, floor).select(by, "want")), by).where("__r <= want").drop("__r", "want")  # one row a class
+    r = r.where(F.col("__r") <= max(total, floor))  # a constant lets each task drop rows before the shuffle
+    got = r.join(allocation(df, by, total, floor).select(by, "want"), by).where("__r <= want").drop("__r", "want")
     return got.select("*", *(F.lit("").alias(b) for b in blanks))
 
 

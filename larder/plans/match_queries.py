@@ -180,17 +180,14 @@ def M9_fuzzy_candidates(t: Tables) -> DataFrame:
     return M.fuzzy_candidates(q, M.variants(H.index(t.foodex2_terms)), M.RUNS["small"]).withColumn("score", F.round("score", 6))
 
 
-_DISTANCES = f"""(SELECT q.termCode AS q, v.term, v.variant, levenshtein(q.k, v.variant) AS d FROM (SELECT termCode, {_TERM_KEY} AS k FROM foodex2_terms WHERE status IS NULL) q, {_VARIANTS} v)"""
+#: Scored candidates: a query, a term, one of its variants, a score.
+_CANDIDATES = "(SELECT l_partkey AS q, l_suppkey AS term, l_orderkey * 10 + l_linenumber AS variant, l_quantity AS score FROM lineitem)"
 
 
-@query(f"SELECT q, term, variant, CAST(d AS INTEGER) AS d FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, term) AS r FROM (SELECT *, row_number() OVER (PARTITION BY q, term ORDER BY d, variant) AS w FROM {_DISTANCES}) WHERE w = 1) WHERE r <= 30")
+@query(f"SELECT q, term, variant, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, term) AS r FROM (SELECT *, row_number() OVER (PARTITION BY q, term ORDER BY score DESC, variant) AS w FROM {_CANDIDATES}) WHERE w = 1) WHERE r <= 30")
 def M10_best_variant(t: Tables) -> DataFrame:
-    q = t.foodex2_terms.where("status is null").select(C("termCode").alias("q"), T.term_key(C("termExtendedName")).alias("k"))
-    var = t.foodex2_terms.select(C("termCode").alias("term"), F.explode(T.comma_variants(C("termExtendedName"))).alias("variant"))
-    # A stated query set against a reference list of bounded size.
-    d = q.join(F.broadcast(var)).withColumn("d", F.levenshtein("k", "variant"))
-    one = d.groupBy("q", "term").agg(F.min(F.struct("d", "variant")).alias("b")).select("q", "term", "b.variant", "b.d")
-    return V.ranked(one, ("q",), [C("d"), C("term")], 30).drop("rank")
+    c = t.lineitem.selectExpr("l_partkey AS q", "l_suppkey AS term", "l_orderkey * 10 + l_linenumber AS variant", "l_quantity AS score")
+    return M.best_variants(c, "q", 30)
 
 
 @query(f"""WITH v AS (SELECT v.* FROM {_VARIANTS} v JOIN {_IX} i ON i.term = v.term AND i.level >= 2), q AS (SELECT DISTINCT ingredient, {D.key("ingredient")} AS k FROM products_ingredients WHERE matchable)

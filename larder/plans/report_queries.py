@@ -399,7 +399,8 @@ def R42_compare_runs(t: Tables) -> DataFrame:
 def R43_coverage(t: Tables) -> DataFrame:
     done = results(t).agg(F.count(F.lit(1)).alias("processed"), *(F.count_if(C("confidence") == c).alias(c) for c in CLASSES))
     whole = t.products_ingredients.agg(F.count_distinct("ingredient").alias("source"))
-    return whole.crossJoin(F.broadcast(done)).withColumn("pct", R.pct(C("processed"), C("source")))  # one row beside one row
+    both = whole.unionByName(done, allowMissingColumns=True)
+    return both.agg(*(F.max(c).alias(c) for c in both.columns)).withColumn("pct", R.pct(C("processed"), C("source")))
 
 
 @query(f"SELECT code, ['HIGH', 'MEDIUM', 'LOW', 'NO_MATCH'][min(CASE confidence WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END)] AS confidence FROM {_PM} GROUP BY 1")

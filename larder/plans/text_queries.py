@@ -13,7 +13,16 @@ from larder.plans.registry import Tables, query
 C = F.col
 
 
-@query()
+_QUOTED = '"[^"]*(?:""[^"]*)*"'
+_CELL = f'(?:{_QUOTED}|[^"\\t][^\\t]*|)'
+_BAD = r"\x00-\x08\x0B-\x1F\x7F-\x{9F}\x{FFFD}"
+_CLEAN = f'(?:"[^"{_BAD}]*(?:""[^"{_BAD}]*)*"|[^"\\t{_BAD}][^\\t{_BAD}]*|)'
+_NUMBER = r"(?:0*1(?:\.(?:0[0-9]*|10*))?|0+(?:\.[0-9]+)?)?"
+_TYPED = ["(?:\"[0-9]{8,14}\"|[0-9]{8,14})", _CLEAN, _CELL, _CELL, _CLEAN, *[_CELL] * 9, f'(?:"{_NUMBER}"|{_NUMBER})']
+
+
+@query(f"""SELECT line_id, reason FROM (SELECT line_id, CASE WHEN raw_line IS NULL THEN 'columns' WHEN regexp_full_match(raw_line, '{r"\t".join(_TYPED)}', 's') THEN NULL
+  WHEN regexp_matches(raw_line, '^(?:{_CELL}\\t)*"[^"]*(?:""[^"]*)*(?:$|"[^"\\t])', 's') THEN 'quoting' WHEN regexp_full_match(raw_line, '{r"\t".join([_CELL] * 15)}', 's') THEN 'value' ELSE 'columns' END AS reason FROM product_lines) WHERE reason IS NOT NULL""")
 def p1_found(t: Tables) -> DataFrame:
     return rejects.rejected(t.product_lines).select("line_id", "reason")
 
@@ -23,7 +32,17 @@ def p1_loaded(t: Tables) -> DataFrame:
     return rejects.loaded(t.product_lines, keep=("line_id",))
 
 
-@query()
+_CAPTION = r"(?:^|\.\s+|[,;|/\n•·])\s*\p{L}[\p{L} ]*\s*:"
+_VALUE = r'(?:"[^"]*"|\([^)]*\)|\[[^\]]*\]|[0-9](?:,[0-9])+|[^,;|/\n•·"])+'
+_TRIM = "trim(x, E' \\t\\n\\r')"
+
+
+@query(f"""WITH c AS (
+  SELECT 'ingredients_text' AS field, CAST(row_id AS VARCHAR) AS rec_key, regexp_extract_all(regexp_replace(regexp_replace(ingredients_text, '\\.\\s*$', ''), '{_CAPTION}', '|', 'g'), '{_VALUE}') AS v FROM products_with_language1
+  UNION ALL SELECT 'categories_tags', CAST(row_id AS VARCHAR), regexp_extract_all(categories_tags, '(?:"[^"]*"|[^",;|])+') FROM products_with_language1
+  UNION ALL SELECT 'commonNames', termCode, regexp_extract_all(commonNames, '(?:"[^"]*"|[^"$;|])+') FROM foodex2_terms),
+u AS (SELECT field, rec_key, list_filter(list_transform(v, lambda x: CASE WHEN regexp_full_match({_TRIM}, '"[^"]*"') THEN trim({_TRIM}, '"') ELSE {_TRIM} END), lambda x: trim(x) <> '') AS v FROM c)
+SELECT field, rec_key, CAST(generate_subscripts(v, 1) AS INTEGER) AS pos, unnest(v) AS value FROM u""")
 def p5_found(t: Tables) -> DataFrame:
     def part(df: DataFrame, column: str, key: str, style: packed.Style) -> DataFrame:
         return packed.split_cells(df, column, (key,), style).select(F.lit(column).alias("field"), C(key).cast("string").alias("rec_key"), "pos", "value")

@@ -82,6 +82,7 @@ class Reader:
     def __init__(self, filters: Filters) -> None:
         self.f, self.n = filters, len(filters.languages)
         self.memo: dict[str, np.ndarray] = {}
+        self.phrases: dict[str, np.ndarray] = {}
         self.plain = Plain()
 
     def score(self, word: str) -> np.ndarray:
@@ -102,10 +103,21 @@ class Reader:
         return got
 
     def scores(self, text: str) -> np.ndarray:
-        return sum((self.score(w) for w in words(text)), np.zeros(self.n))
+        said = words(text)
+        key = " ".join(said)
+        got = self.phrases.get(key)
+        if got is None:
+            got = sum((self.score(w) for w in said), np.zeros(self.n))
+            if len(key) <= 80:
+                if len(self.phrases) > 100_000:
+                    self.phrases.clear()
+                self.phrases[key] = got
+        return got
 
     def script(self, text: str) -> str | None:
         """Language told by script, if its letters outnumber the Latin ones."""
+        if not text or max(text) < "Ͱ":  # Latin letters and signs alone
+            return None
         best = max(((len(p.findall(text)), lang) for lang, p in _SCRIPT), default=(0, None))
         if not best[0] or best[0] <= sum(c.isalpha() for c in text) - best[0]:
             return None
@@ -130,19 +142,30 @@ class Reader:
         """(language, confidence, values) of the longest runs in one language. leads: caption before each value, or ''."""
         rows, sure = [], []
         for v, lead in zip(values, leads):
-            v = self.plain(v)
-            sure.append(self.script(v))
-            rows.append(self.scores(v) + self.scores(lead))
-        heard = [i for i, (r, s) in enumerate(zip(rows, sure)) if s or r.any()]
-        if not heard:
+            if not v.isascii():
+                v = self.plain(v)
+            sure.append(None if v.isascii() else self.script(v))
+            rows.append(self.scores(v) + self.scores(lead) if lead else self.scores(v))
+        told = any(sure)
+        if not rows:
             return []
+        all_rows = np.array(rows)
+        loud = all_rows.any(axis=1)
+        if not told:
+            if not loud.any():
+                return []
+            first = all_rows[loud].argmax(axis=1)
+            if (first == first[0]).all():  # the best language of every value: no path can be better
+                total = all_rows.sum(axis=0)
+                p = np.exp(total - total.max())
+                return [(self.f.languages[int(first[0])], float(p[first[0]] / p.sum()), len(values))]
         # Languages of other scripts stand beside those of the filter.
         extra = sorted({s for s in sure if s})
         states = [*self.f.languages, *(x for x in extra if x not in self.f.languages)]
         emit = np.zeros((len(values), len(states)))
         for i, (r, s) in enumerate(zip(rows, sure)):
             emit[i, : self.n] = r
-            if s:
+            if s is not None:
                 emit[i] = 0
                 emit[i, states.index(s)] = 20.0
         best, back = emit[0].copy(), []

@@ -32,6 +32,8 @@ PHONETIC, HYPHENS = {"ɑ": "a", "ɡ": "g", "ɩ": "i", "ʏ": "Y"}, "‐‑﹣－"
 #: Invisible characters beyond the categories of format and control characters.
 _BLANK = re.compile("[͏ᅟᅠ឴឵᠋-᠏ㅤ︀-️ﾠ\U000e0100-\U000e01ef]")
 _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*")
+#: Printable ASCII and composed Latin letters that nothing unfolds: text of these alone is plain.
+_SURELY_PLAIN = re.compile(r"[\x20-\x7E\t\n\rÀ-ÖØ-öø-ıĴ-ľŁ-ňŊ-ž]*\Z")
 _NOT_PLAIN = r"[^\x{20}-\x{7E}\t\n\r]"
 
 
@@ -89,6 +91,8 @@ class Plain:
         self.unseen = {k: -math.log(0.2 / (n + 20)) for k, n in total.items()}
 
     def __call__(self, value: str) -> str:
+        if _SURELY_PLAIN.match(value):
+            return value
         got = self.memo.get(value)
         if got is None:
             if len(self.memo) > 50_000:

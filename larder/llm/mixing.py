@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from larder.llm.bpe import VOCABULARY, count_tokens
+from larder.llm.bpe import VOCABULARY, count_tokens, encode_corpus
 from larder.session import materialise
 
 #: Tokens of a block, blocks of a shard, and the most shards that a plan holds (the plan is a table of shards x sources).
@@ -196,6 +196,22 @@ def mix_sources(
     return Mix(slots, shares)
 
 
+def with_tokens(slots: DataFrame, docs: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: str = VOCABULARY) -> DataFrame:
+    """shard, slot, source, epoch, block, ids: the tokens of each slot of a mix, in the order of its parts.
+
+    The documents that the mix uses are encoded once and cut; parts and slots meet in two equi-joins on keys without
+    hot values, as a document has few parts and a slot at most `block`. The order of rows is left open.
+    """
+    place = ("source", "block")
+    parts = slots.select(*place, "parts").dropDuplicates(list(place)).select(*place, F.posexplode("parts").alias("no", "p"))
+    parts = parts.select(*place, "no", F.col(f"p.{key}").alias("__doc"), F.col("p.from").alias("lo"), F.col("p.to").alias("hi"))
+    used = docs.join(parts.select(F.col("__doc").alias(key)).distinct().hint("shuffle_hash"), key, "left_semi")
+    ids = encode_corpus(used, text, (key,), vocabulary).withColumnRenamed(key, "__doc")
+    cut = parts.join(ids, "__doc").select(*place, F.struct("no", F.slice("ids", (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")).alias("ids")).alias("c"))
+    whole = cut.groupBy(*place).agg(F.flatten(F.transform(F.sort_array(F.collect_list("c")), lambda c: c["ids"])).alias("ids"))
+    return slots.select("shard", "slot", "epoch", *place).hint("merge").join(whole, list(place)).select("shard", "slot", "source", "epoch", "block", "ids")
+
+
 def _xxhash(spark, seed: int, source_key: int, epoch: int) -> int:
     return spark.range(1).select(F.xxhash64(F.lit(seed), F.lit("block"), F.lit(source_key).cast("long"), F.lit(epoch).cast("int"))).head()[0]
 

@@ -115,6 +115,13 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "source_weights")).shares
 
 
+@query
+def p8_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """The mix itself: token ids of every slot."""
+    docs = table(spark, d, "documents")
+    return mixing.with_tokens(mixing.mix_sources(docs, table(spark, d, "source_weights")).slots, docs)
+
+
 @query
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(table(spark, d, "documents"))

@@ -73,6 +73,22 @@ def test_mix(spark):
         assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
 
 
+def test_tokens(spark):
+    from larder.llm import bpe
+
+    texts = {i: " ".join(["oat", "milk", "salt", "wheat", "élan"][: 1 + i % 5] * (1 + i % 11)) for i in range(80)}
+    docs = [(i, "ab"[i % 2], t) for i, t in texts.items()]
+    got = mix(spark, docs, [("a", 0.5, 2), ("b", 0.5, 1)])
+    df = spark.createDataFrame([(*d, 0, "x") for d in docs], DOCS)
+    rows = {(r.shard, r.slot): r for r in mixing.with_tokens(got.slots, df).collect()}
+    encoder = bpe.Encoder(*bpe.read_vocabulary())
+    slots = got.slots.collect()
+    assert len(rows) == len(slots)
+    for s in slots:
+        want = [x for p in s.parts for x in encoder.encode(texts[p["doc_id"]])[p["from"] : p["to"]]]
+        assert rows[s.shard, s.slot].ids == want and len(want) == s.n_tokens
+
+
 def test_total_beyond_a_cap(spark):
     docs = [(i, "ab"[i % 2], "oat milk salt wheat " * 8) for i in range(40)]
     got = {r.source: r for r in mix(spark, docs, [("a", 0.5, 1), ("b", 0.5, 4)], total_tokens=10**6).shares.collect()}

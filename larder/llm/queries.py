@@ -139,3 +139,16 @@ FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FRO
 @query
 def p9_units(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_units(table(spark, d, "documents"))
+
+
+_WS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+ORACLES["p9_units"] = f"""
+WITH u AS (SELECT doc_id, string_split_regex(text, '\\n+') AS p, regexp_extract_all(text, '\\n+') AS g FROM documents WHERE text IS NOT NULL),
+e AS (SELECT doc_id, p, g, unnest(p) AS unit, generate_subscripts(p, 1) - 1 AS k FROM u),
+n AS (SELECT doc_id, k, length(unit) AS n_chars, trim(regexp_replace(lower(unit), '{_WS}+', ' ', 'g')) AS norm,
+  coalesce(list_sum(list_transform(p[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(g[1:k], lambda x: length(x))), 0) AS start FROM e),
+d AS (SELECT *, sha256(norm) AS digest FROM n WHERE length(norm) >= 40)
+SELECT doc_id, CAST(k AS INTEGER) AS unit_no, CAST(start AS BIGINT) AS start, CAST(n_chars AS INTEGER) AS n_chars, digest, count(*) OVER (PARTITION BY digest) AS copies,
+  row_number() OVER (PARTITION BY digest ORDER BY doc_id, k) = 1 AS keep
+FROM d QUALIFY count(*) OVER (PARTITION BY digest) > 1
+"""

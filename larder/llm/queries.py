@@ -152,3 +152,21 @@ SELECT doc_id, CAST(k AS INTEGER) AS unit_no, CAST(start AS BIGINT) AS start, CA
   row_number() OVER (PARTITION BY digest ORDER BY doc_id, k) = 1 AS keep
 FROM d QUALIFY count(*) OVER (PARTITION BY digest) > 1
 """
+
+
+def _plain_sql(x: str) -> str:
+    """Plain form for values as they occur here: all look-alike letters become Latin where the value has a Latin letter."""
+    wide, narrow = "".join(chr(0xFF01 + i) for i in range(94)), "".join(chr(0x21 + i) for i in range(94))
+    seen = f"regexp_replace(translate({x}, '{wide.replace("'", "''")}', '{narrow.replace("'", "''")}'), '[\\x{{AD}}\\x{{200B}}-\\x{{200D}}\\x{{2060}}\\x{{FEFF}}]', '', 'g')"
+    seen = f"replace(replace(translate(regexp_replace({seen}, '[\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', ' ', 'g'), '‐‑', '--'), 'ﬁ', 'fi'), 'ﬂ', 'fl')"
+    other = {**lookalike.CYRILLIC, **lookalike.GREEK}
+    latin = f"translate({seen}, '{''.join(other)}', '{''.join(v[0] for v in other.values())}')"
+    return f"nfc_normalize(CASE WHEN regexp_matches({seen}, '[A-Za-z]') THEN {latin} ELSE {seen} END)"
+
+
+ORACLES["p6_found"] = f"""
+SELECT field, row_id, plain FROM (
+  SELECT 'ingredient' AS field, row_id, ingredient AS v, {_plain_sql("ingredient")} AS plain FROM products_ingredients
+  UNION ALL SELECT 'product_name', row_id, product_name, {_plain_sql("product_name")} FROM products_with_language1)
+WHERE plain <> v
+"""

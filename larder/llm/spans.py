@@ -109,7 +109,7 @@ def shared_spans(df: DataFrame, text: str = "text", key: str = "doc_id", span: i
     verbatim in another record, and the number of such characters.
 
     Null, empty and shorter texts have none; repeats inside one record alone don't count; two records with equal
-    texts share all of them. `key` must be unique and not null. Any length of text, and any number of records that
+    texts share all of them. Rows of one key are one record, rows with a null key are none. Any length of text, and any number of records that
     hold one passage, keeps its exact result: nothing is capped, and of equal runs of windows each task sends two.
     """
     gram = max(1, span // 3)

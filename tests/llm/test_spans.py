@@ -67,6 +67,14 @@ def test_repeats_inside_one_text_and_empty_table(spark):
     assert spans.shared_spans(df).count() == 0 and spans.shared_units(df).count() == 0
 
 
+def test_null_and_repeated_keys(spark):
+    p = "the same passage, word for word, again"
+    df = spark.createDataFrame([(1, p), (1, p), (None, "x" + p), (2, "nothing of the kind in here at all, no"), (None, None)], "doc_id long, text string")
+    assert spans.shared_spans(df, span=20).count() == 0
+    more = df.unionByName(spark.createDataFrame([(3, "--" + p)], "doc_id long, text string"))
+    assert {r.doc_id: r.shared_chars for r in spans.shared_spans(more, span=20).collect()} == {1: len(p), 3: len(p)}
+
+
 def test_units(spark):
     a, b = "A line of more than forty characters, in full", "a LINE of more  than forty characters, in full"
     data = [(2, f"x\n{a}"), (1, f"{b}\n\nshort\n{a}"), (3, None), (4, ""), (5, "short\nshort")]

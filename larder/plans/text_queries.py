@@ -27,7 +27,16 @@ def p1_found(t: Tables) -> DataFrame:
     return rejects.rejected(t.product_lines).select("line_id", "reason")
 
 
-@query()
+_NAMES_OF = [f.name for f in rejects.PRODUCT_LINE]
+
+
+def _cell_sql(name: str) -> str:
+    bare = f"nullif(CASE WHEN r.{name} LIKE '\"%' THEN replace(substr(r.{name}, 2, length(r.{name}) - 2), '\"\"', '\"') ELSE r.{name} END, '')"
+    return f"CAST({bare} AS DOUBLE) AS {name}" if name == "completeness" else f"{bare} AS {name}"
+
+
+@query(f"""SELECT line_id, {", ".join(map(_cell_sql, _NAMES_OF))} FROM (
+  SELECT line_id, regexp_extract(raw_line, '^{r"\t".join(f"({_CELL})" for _ in _NAMES_OF)}$', {_NAMES_OF}, 's') AS r FROM product_lines WHERE regexp_full_match(raw_line, '{r"\t".join(_TYPED)}', 's'))""")
 def p1_loaded(t: Tables) -> DataFrame:
     return rejects.loaded(t.product_lines, keep=("line_id",))
 

@@ -30,9 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one where it is unset (tests, one machine)."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, a temporary one on a single machine; on a cluster that is an error."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="larder-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at

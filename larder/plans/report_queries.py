@@ -42,12 +42,12 @@ def results(t: Tables) -> DataFrame:
 # Products
 
 
-_P1 = f"""WITH pi AS (SELECT code, max(product_name) AS product_name, lower(ingredient) AS k FROM products_ingredients WHERE matchable GROUP BY code, lower(ingredient)),
-m AS (SELECT lower(ingredient) AS k, confidence, path_score FROM {RES} QUALIFY row_number() OVER (PARTITION BY lower(ingredient) ORDER BY path_score DESC NULLS LAST, ingredient DESC) = 1)
-SELECT pi.code, coalesce(max(pi.product_name), 'Sin nombre') AS product_name, count(*) AS total_ingredients, count(*) FILTER (confidence = 'HIGH') AS high_count, count(*) FILTER (confidence = 'MEDIUM') AS medium_count,
-  count(*) FILTER (confidence <> 'NO_MATCH') AS matched_count, count(*) - count(m.k) AS no_match_count,
-  round(0.4::DOUBLE * coalesce(avg(path_score), 0) + 0.3::DOUBLE * count(*) FILTER (confidence = 'HIGH') / count(*) + 0.2::DOUBLE * count(*) FILTER (confidence <> 'NO_MATCH') / count(*) + 0.1::DOUBLE * count(*) FILTER (confidence = 'MEDIUM') / count(*), 4) AS confidence_score
-FROM pi LEFT JOIN m ON m.k = pi.k GROUP BY pi.code ORDER BY confidence_score DESC, pi.code LIMIT 5000"""
+_P1 = f"""WITH listed AS (SELECT code, lower(ingredient) AS word, max(product_name) AS title FROM products_ingredients WHERE matchable GROUP BY ALL),
+judged AS (SELECT lower(ingredient) AS word, arg_max({{'c': confidence, 's': path_score}}, {{'s': path_score, 'i': ingredient}}) AS best FROM {RES} GROUP BY 1),
+seen AS (SELECT code, title, best.c AS c, best.s AS s, judged.word IS NULL AS lost FROM listed LEFT JOIN judged USING (word)),
+counts AS (SELECT code, max(title) AS title, count(*) AS n, count_if(c = 'HIGH') AS h, count_if(c = 'MEDIUM') AS d, count_if(c <> 'NO_MATCH') AS k, count_if(lost) AS lost, coalesce(avg(s), 0) AS a FROM seen GROUP BY code)
+SELECT code, coalesce(title, 'Sin nombre') AS product_name, n AS total_ingredients, h::BIGINT AS high_count, d::BIGINT AS medium_count, k::BIGINT AS matched_count, lost::BIGINT AS no_match_count,
+  round(0.4::DOUBLE * a + (0.3::DOUBLE * h + 0.2::DOUBLE * k + 0.1::DOUBLE * d) / n, 4) AS confidence_score FROM counts ORDER BY confidence_score DESC, code LIMIT 5000"""
 
 
 @query(_P1)

@@ -53,9 +53,9 @@ def fuzzy_candidates(queries: DataFrame, var: DataFrame, params: MatchParams = M
     """Query, term, name, variant, score (0 to 100): of the best `top_variants` variants at or above the
     cutoff the best one of each term, at most `top_terms` terms; ties by variant, then term.
 
-    Only variants that share a word or three letters in a row with the query are scored, and of those that share no
-    word only the ones whose letters, in any order, could reach the cutoff by `bound`. Give distinct queries: a query
-    is scored as often as it comes. Null queries give nothing.
+    Left out before scoring are only variants without a word of the query whose letters, in any order, can't reach the
+    cutoff by `bound`; without a bound every variant is scored. Give distinct queries: a query is scored as often as
+    it comes. Null queries give nothing.
     """
     held = var.select("term", "name", "variant").orderBy("variant", "term").limit(MOST_VARIANTS + 1).toPandas()
     if len(held) > MOST_VARIANTS:
@@ -69,8 +69,8 @@ def fuzzy_candidates(queries: DataFrame, var: DataFrame, params: MatchParams = M
         rows = shared.value
         index: dict[str, list[int]] = defaultdict(list)
         for i, (_, _, v) in enumerate(rows):
-            for p in {*v.split(), *(v[j : j + 3] for j in range(len(v) - 2))}:
-                index[p].append(i)
+            for w in set(v.split()):
+                index[w].append(i)
         letters = sorted({c for _, _, v in rows for c in v})
         place = {c: i for i, c in enumerate(letters)}
         count = np.zeros((len(rows), len(letters) + 1), np.int16)
@@ -82,16 +82,16 @@ def fuzzy_candidates(queries: DataFrame, var: DataFrame, params: MatchParams = M
         for b in batches:
             out = []
             for q, k in zip(b["q"], b["k"]):
-                found = [index[p] for p in {*k.split(), *(k[j : j + 3] for j in range(len(k) - 2))} if p in index]
-                near = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-                if bound is not None and len(near) and len(set(k.split())) == len(k.split()):
+                near = np.arange(len(rows))
+                if bound is not None and len(rows) and len(set(k.split())) == len(k.split()):
                     own = np.zeros(len(letters) + 1, np.int16)
                     for c in k:
                         own[place.get(c, -1)] += 1
                     own[-1] = 0
-                    most = bound(np.minimum(count[near], own).sum(axis=1), len(k), size[near])
-                    words = [index[w] for w in set(k.split()) if w in index]
-                    near = near[(most >= params.cutoff) | loose[near] | np.isin(near, np.concatenate(words) if words else [])]
+                    keep = (bound(np.minimum(count, own).sum(axis=1), len(k), size) >= params.cutoff) | loose
+                    for w in k.split():
+                        keep[index.get(w, [])] = True
+                    near = near[keep]
                 scored = sorted(((-s, rows[i][2], rows[i][0], rows[i][1]) for i in near.tolist() if (s := scorer(k, rows[i][2])) >= params.cutoff))[: params.top_variants]
                 seen: dict[str, tuple] = {}
                 for s, v, t, n in scored:

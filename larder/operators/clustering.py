@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -16,22 +16,25 @@ def _features(df: DataFrame, v: str) -> DataFrame:
     return df.withColumn("__f", array_to_vector(F.col(v).cast("array<double>")))
 
 
+def _cheapest(f: DataFrame, k: int, seed: int, starts: int) -> KMeansModel:
+    models = (KMeans(featuresCol="__f", predictionCol="cluster", k=k, seed=seed + i).fit(f) for i in range(starts))
+    return min(models, key=lambda m: m.summary.trainingCost)
+
+
 def kmeans(df: DataFrame, key: str, v: str, k: int = 12, seed: int = 42, starts: int = 10) -> DataFrame:
     """C4: key, cluster of the cheapest of `starts` runs."""
     f = _features(df.select(key, v), v).cache()
-    models = [KMeans(featuresCol="__f", predictionCol="cluster", k=k, seed=seed + i).fit(f) for i in range(starts)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    out = best.transform(f).select(key, "cluster")
+    out = _cheapest(f, k, seed, starts).transform(f).select(key, "cluster")
     f.unpersist()
     return out
 
 
-def elbow(df: DataFrame, v: str, ks: range = range(2, 21), seed: int = 42) -> DataFrame:
-    """K, inertia, silhouette (by squared Euclidean distance)."""
+def elbow(df: DataFrame, v: str, ks: range = range(2, 21), seed: int = 42, starts: int = 10) -> DataFrame:
+    """K, inertia, silhouette (by squared Euclidean distance) of the cheapest of `starts` runs for each k."""
     f = _features(df.select(v), v).cache()
     rows = []
     for k in ks:
-        m = KMeans(featuresCol="__f", predictionCol="cluster", k=k, seed=seed).fit(f)
+        m = _cheapest(f, k, seed, starts)
         rows.append((k, float(m.summary.trainingCost), float(ClusteringEvaluator(featuresCol="__f", predictionCol="cluster").evaluate(m.transform(f)))))
     f.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")

@@ -157,12 +157,12 @@ def C3_projection(t: Tables) -> DataFrame:
 
 @query()
 def C4_kmeans(t: Tables) -> DataFrame:
-    return K.kmeans(t.embeddings, "vec_id", "embedding", k=12, starts=3)
+    return K.kmeans(t.embeddings, "vec_id", "embedding")
 
 
 @query()
 def C5_elbow(t: Tables) -> DataFrame:
-    return K.elbow(t.embeddings, "embedding", range(2, 8))
+    return K.elbow(t.embeddings, "embedding")
 
 
 _SIL = """WITH d AS (SELECT a.vec_id, a.label, b.label AS other, avg(x) AS mean_all, sum(x) AS total, count(*) AS n FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings) a, (SELECT vec_id AS v2, label, embedding::DOUBLE[] AS f FROM embeddings) b, LATERAL (SELECT list_distance(a.e, b.f) AS x) GROUP BY 1, 2, 3),

@@ -197,6 +197,12 @@ def greedy(queries: DataFrame, nodes: DataFrame, params: MatchParams = MatchPara
     )
 
 
+def term_nodes(ix: DataFrame, encode) -> DataFrame:
+    """Nodes of an index for beam() and greedy(), with the vectors of their names."""
+    up = H.parents(ix).select(F.col("child").alias("term"), "parent")
+    return ix.where("level >= 2").join(up, "term", "left").select(F.col("term").alias("node"), "name", F.col("level").cast("int").alias("level"), F.coalesce("parent", F.lit("")).alias("parent"), encode(T.term_key(F.col("name"))).alias("vec"))
+
+
 def match_names(queries: DataFrame, terms: DataFrame, params: MatchParams = MatchParams(), encode=None, query: str = "ingredient") -> DataFrame:
     """M9 to M19 in one plan: distinct queries to term, mode (rf_exact, rf_reranked or beam), score, confidence, rf_score, lexical_score.
 
@@ -220,9 +226,7 @@ def match_names(queries: DataFrame, terms: DataFrame, params: MatchParams = Matc
     both = both.withColumn("confidence", F.when(is_exact, "HIGH").otherwise(fuzzy_confidence(F.col("score"), F.col("lexical_score"), params)))
     best = both.groupBy(query).agg(F.min_by(F.struct("term", "mode", "score", "confidence", F.col("score_rf").alias("rf_score"), "lexical_score"), F.struct(-F.col("score"), "term")).alias("r")).select(query, "r.*")
     left = q.join(best.select(query), query, "left_anti").select(F.col(query).alias("query_id"), T.lookup_key(F.col(query)).alias("name")).withColumn("vec", encode(F.col("name")))
-    up = H.parents(ix).select(F.col("child").alias("term"), "parent")
-    nodes = ix.where("level >= 2").join(up, "term", "left").select(F.col("term").alias("node"), "name", F.col("level").cast("int").alias("level"), F.coalesce("parent", F.lit("")).alias("parent"), encode(T.term_key(F.col("name"))).alias("vec"))
-    fell = beam(left, nodes, params).select(
+    fell = beam(left, term_nodes(ix, encode), params).select(
         F.col("query_id").alias(query), F.coalesce("specific_code", "level3_code", "level2_code").alias("term"), F.lit("beam").alias("mode"), F.col("path_score").alias("score"), "confidence",
         F.lit(0.0).alias("rf_score"), F.lit(0.0).alias("lexical_score"),
     )
@@ -238,6 +242,15 @@ def cached(queries: DataFrame, results: DataFrame, query: str = "ingredient", or
     return j.select(*queries.columns, F.when(F.col("a").isNotNull(), "exact").when(F.col("b").isNotNull(), "lower").alias("hit"), *(F.coalesce(F.col("a")[c], F.col("b")[c]).alias(c) for c in cols))
 
 
+def match_cached(queries: DataFrame, results: DataFrame, terms: DataFrame, params: MatchParams = MatchParams(), encode=None, query: str = "ingredient") -> DataFrame:
+    """M21 whole: hit, term, score, confidence of each query: from results by cached(), else `live` by greedy(). Give distinct queries."""
+    encode = encode or V.encoder()
+    seen = cached(queries.select(query), results.select(query, "term", "score", "confidence"), query)
+    missed = seen.where("hit is null").select(query, encode(T.lookup_key(F.col(query))).alias("vec"))
+    live = greedy(missed, term_nodes(H.index(terms), encode), params, query)
+    return seen.where("hit is not null").unionByName(live.select(query, F.lit("live").alias("hit"), F.col("code").alias("term"), "score", "confidence"))
+
+
 def matchable(rows: DataFrame, strict: bool = False) -> DataFrame:
     """Distinct ingredients of matchable rows; strict: English ones that are no additives (null counts as none)."""
     keep = F.col("matchable")

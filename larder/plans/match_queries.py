@@ -12,6 +12,7 @@ from larder.operators import matching as M
 from larder.operators import vectors as V
 from larder.plans import duck as D
 from larder.plans.registry import Tables, query
+from larder.session import materialise
 
 C = F.col
 _IX = "(SELECT termCode AS term, termExtendedName AS name, reportHierarchyCode AS path, reportHierarchyLevel AS level FROM foodex2_terms WHERE reportHierarchyCode LIKE 'Z0001%')"
@@ -286,6 +287,13 @@ def M17_top3_padded(t: Tables) -> DataFrame:
     return top.groupBy("query_id").agg(*(x for i in (1, 2, 3) for x in (F.coalesce(F.max(F.when(C("rank") == i, C("item_id"))), F.lit(-1)).alias(f"top{i}_code"), F.coalesce(F.round(F.max(F.when(C("rank") == i, C("score"))), 6), F.lit(0.0)).alias(f"top{i}_score"))))
 
 
+@query("SELECT query_id, " + ", ".join(f"max(item_id) FILTER (rank = {i}) AS top{i}_code, round(max(s) FILTER (rank = {i}), 6) AS top{i}_score" for i in (1, 2, 3)) + " FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, item_id) AS rank FROM (SELECT q.vec_id AS query_id, i.vec_id AS item_id, list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings i)) GROUP BY 1")
+def M17_top3_all(t: Tables) -> DataFrame:
+    """M17 over all items; M17_top3_padded shows the padding over few."""
+    top = V.top_k(t.embeddings.select(C("vec_id").alias("query_id"), C("embedding").alias("vec")), _items(t), 3)
+    return top.groupBy("query_id").agg(*(x for i in (1, 2, 3) for x in (F.max(F.when(C("rank") == i, C("item_id"))).alias(f"top{i}_code"), F.round(F.max(F.when(C("rank") == i, C("score"))), 6).alias(f"top{i}_score"))))
+
+
 @query()
 def M19_match_names(t: Tables) -> DataFrame:
     got = M.match_names(M.matchable(t.products_ingredients), t.foodex2_terms, M.RUNS["small"])
@@ -312,6 +320,14 @@ def M21_cache(t: Tables) -> DataFrame:
     return M.cached(t.products_ingredients.select("ingredient").distinct(), r).withColumn("r", F.coalesce("r", F.lit(-1)))
 
 
+@query()
+def M21_cached_match(t: Tables) -> DataFrame:
+    """M21 whole: every ingredient, from the results of all that are to be matched, else live."""
+    results = materialise(M.match_names(M.matchable(t.products_ingredients, strict=True), t.foodex2_terms, M.RUNS["small"]))
+    got = M.match_cached(t.products_ingredients.select("ingredient").distinct(), results, t.foodex2_terms, M.RUNS["small"])
+    return got.withColumn("score", F.round("score", 4))
+
+
 @query(f"""WITH best AS (SELECT query_id, item_id AS chosen FROM {_PAIRS} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, item_id) = 1)
 SELECT query_id, item_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS alternative FROM (SELECT p.*, row_number() OVER (PARTITION BY p.query_id ORDER BY round(s, 12) DESC, item_id) AS rank FROM {_PAIRS} p) p JOIN best USING (query_id) WHERE rank <= 4 AND item_id <> chosen""")
 def M22_alternatives(t: Tables) -> DataFrame:

@@ -50,9 +50,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p3_languages(spark: SparkSession, d: str) -> DataFrame:
-    """Language, confidence and size of each segment of each label text."""
-    rows = table(spark, d, "products_with_language1")
-    return langid.identify(rows, "ingredients_text", _language_filters(spark, d)).withColumn("confidence", F.round("confidence", 6))
+    """Language, confidence and size of each segment of each label text, and of each product name as one."""
+    rows, filters = table(spark, d, "products_with_language1"), _language_filters(spark, d)
+    a = langid.identify(rows, "ingredients_text", filters).withColumn("field", F.lit("ingredients_text"))
+    b = langid.identify(rows, "product_name", filters, mixed=False).withColumn("field", F.lit("product_name"))
+    return a.unionByName(b).withColumn("confidence", F.round("confidence", 6))
 
 
 @query

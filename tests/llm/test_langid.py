@@ -65,3 +65,16 @@ def test_joined_texts_are_cut_where_they_were_joined(spark):
         got = [lang for lang, _, _ in reader.segments(*langid.parts([x.rstrip(" .") + ", " + y])[0])]
         right += got == ([a, b] if a != b else [a])
     assert right >= 195
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_both_fields_have_a_language_and_confidence(spark):
+    from larder.llm.queries import QUERIES
+
+    at = str(DATA).replace("sf0.01", "sf0.001")
+    got = QUERIES["p3_languages"](spark, at).toPandas()
+    assert set(got["field"]) == {"ingredients_text", "product_name"} and got["confidence"].between(0, 1).all() and got["lang"].notna().all()
+    rows = spark.read.parquet(f"{at}/products_with_language1.parquet").toPandas()
+    for field in ("ingredients_text", "product_name"):
+        worded = {r.row_id for r in rows.itertuples() if langid.words(getattr(r, field) or "")}
+        assert len(worded - set(got["row_id"][got["field"] == field])) <= 0.02 * len(worded)

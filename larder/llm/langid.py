@@ -191,7 +191,7 @@ class Reader:
         return out
 
 
-_CAPTION = re.compile(r"(?:\A|[.,;|/\n•·])\s*([^\W\d_][^\W\d_ ]*(?: [^\W\d_]+){0,5})\s*:")
+_CAPTION = re.compile(r"(?:\A|[.,;|/\n•·])\s*([^\W\d_][^\W\d_ ]*(?: [^\W\d_]+)*)\s*:")
 
 
 def parts(texts: list[str | None]) -> list[tuple[list[str], list[str]]]:

@@ -32,7 +32,7 @@ LABEL_TEXT = Style((",", ";", "|", "/", "\n", "•", "·"), brackets=True, prose
 TAGS = Style((",", ";", "|"))
 NAMES = Style(("$", ";", "|"))
 
-_CAPTION = re.compile(rb"(?:\A|(\.)\s+)\s*((?:[A-Za-z]|[\x80-\xff])(?:[A-Za-z ]|[\x80-\xff]){0,60})\Z")
+_CAPTION = re.compile(rb"(?:\A|(\.)\s+)\s*([A-Za-z\x80-\xff][A-Za-z \x80-\xff]*)\Z")
 
 
 def _inside(buf: np.ndarray, cell: np.ndarray, first: np.ndarray, last: np.ndarray, brackets: bool) -> np.ndarray:

@@ -2,6 +2,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from larder.llm import langid
 from larder.operators import packed
 from larder.operators.packed import LABEL_TEXT, NAMES, TAGS, split_array, split_cells
 
@@ -40,6 +41,14 @@ def test_labels():
     assert split('x"y, z', LABEL_TEXT) == ['x"y', "z"]
 
 
+def test_long_captions():
+    long = "ingredients of the creamy filling and of the crisp coating made in our own bakery"
+    script = "Состав начинки и глазури этого замечательного продукта"
+    assert len(long) > 61 and len(script.encode()) > 61
+    assert split(f"{long}: milk, salt. {script}: соль", LABEL_TEXT) == ["milk", "salt", "соль"]
+    assert langid.parts([f"{long}: milk, salt"]) == [(["milk", "salt"], [long, ""])]
+
+
 def test_other_styles():
     assert split('en:a, "en:b, c";fr:d|', TAGS) == ["en:a", "en:b, c", "fr:d"]
     assert split('pulp, apple$$ "Kind, sorted" | x;', NAMES) == ["pulp, apple", "Kind, sorted", "x"]

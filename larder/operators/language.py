@@ -28,8 +28,8 @@ def common_words() -> Callable[[str], str | None]:
     return detect
 
 
-def detect_language(df: DataFrame, text: str, keys: tuple[str, ...], out: str = "lang", make: Callable[[], Callable[[str], str | None]] = common_words, least: int = 10, most: int = 1000) -> DataFrame:
-    """keys and `out`: the detector's label of the first `most` characters, line feeds as spaces, as a label needs no more.
+def detect_language(df: DataFrame, text: str, keys: tuple[str, ...], out: str = "lang", make: Callable[[], Callable[[str], str | None]] = common_words, least: int = 10, most: int | None = None) -> DataFrame:
+    """keys and `out`: the detector's label of the stripped text, line feeds as spaces; with `most`, of its first characters only.
 
     Null, blank and texts shorter than `least` give null. make is called once in each task.
     """
@@ -38,7 +38,7 @@ def detect_language(df: DataFrame, text: str, keys: tuple[str, ...], out: str =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         detect = make()
         for b in batches:
-            got = [None if x is None or len(x.strip()) < least else detect(x[:most].replace("\n", " ")) for x in b["__t"]]
+            got = [None if x is None or len(x.strip()) < least else detect(x.strip()[:most].replace("\n", " ")) for x in b["__t"]]
             yield b.drop(columns="__t").assign(**{out: got})
 
     return df.select(*keys, df[text].alias("__t")).mapInPandas(run, f"{kinds}, `{out}` string")

@@ -27,6 +27,12 @@ def p1_found(t: Tables) -> DataFrame:
     return rejects.rejected(t.product_lines).select("line_id", "reason")
 
 
+@query()
+def p1_fields(t: Tables) -> DataFrame:
+    """Reason and first broken field of every line, null for those that load."""
+    return rejects.with_reason(t.product_lines).select("line_id", "reason", "bad_field")
+
+
 _NAMES_OF = [f.name for f in rejects.PRODUCT_LINE]
 
 

@@ -1,5 +1,7 @@
 import re
+from pathlib import Path
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -82,3 +84,20 @@ def test_bad_field(spark):
     quote = "\t".join(["12345678", '"a', *[""] * 13])
     df = spark.createDataFrame([(1, line), (2, quote), (3, "x")], "line_id long, raw_line string")
     assert {r.line_id: r.bad_field for r in rejects.rejected(df).collect()} == {1: "ingredients_text", 2: "product_name", 3: None}
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no test tables")
+def test_the_query_names_the_first_broken_field(spark):
+    from larder.queries import QUERIES
+
+    at = "/root/testdata/sf0.1"
+    lines = {r.line_id: r.raw_line for r in spark.read.parquet(f"{at}/product_lines.parquet").collect()}
+    got = QUERIES["p1_fields"](spark, at).collect()
+    assert {(r.line_id, r.reason) for r in got if r.reason} == {tuple(r) for r in QUERIES["p1_found"](spark, at).collect()}
+    assert sorted(r.line_id for r in got) == sorted(lines) and all((r.bad_field is not None) == (r.reason in ("value", "quoting")) for r in got)
+    values = [r for r in got if r.reason == "value"]
+    assert values
+    for r in values:
+        cells = re.findall(r'(?:^|\t)("(?:[^"]|"")*"|[^\t]*)', lines[r.line_id])
+        fits = [re.fullmatch(re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), f'"{f.quoted}"|{f.plain}'), c) is not None for f, c in zip(rejects.PRODUCT_LINE, cells)]
+        assert rejects.PRODUCT_LINE[fits.index(False)].name == r.bad_field

@@ -1,13 +1,16 @@
 """Mixing sources to target weights.
 
 The tokens of each source are laid end to end and packed into blocks of fixed length. The blocks that each source
-gives follow from its target share and its cap on repeats; a multinomial draw, renewed over what is left, spreads
-them over the output shards. The j-th block that a source gives is block j mod n of the epoch's pseudorandom
-permutation of its n blocks, so no block comes again before all others came, and slots find their blocks by index.
+gives follow from its target share, its cap on repeats and the true sizes of the blocks that it would give. A
+multinomial draw spreads them over the output shards: down a binary tree of the shards every node divides what it has
+between its halves, so any task can draw the shards that it holds. The j-th block that a source gives is block j mod n
+of the epoch's pseudorandom permutation of its n blocks, so no block comes again before all others came, and slots find
+their blocks by index.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,8 +22,8 @@ from pyspark.sql.types import LongType
 from larder.llm.bpe import VOCABULARY, count_tokens, encode_corpus
 from larder.session import materialise
 
-#: Tokens of a block, blocks of a shard, and the most shards that a plan holds (the plan is a table of shards x sources).
-BLOCK, SHARD_BLOCKS, MOST_SHARDS = 512, 2048, 65_536
+#: Tokens of a block, and blocks of a shard.
+BLOCK, SHARD_BLOCKS = 512, 2048
 #: Documents of a bucket, the unit in which offsets are summed, and the most sources that a table of weights may list.
 BUCKET, MOST_SOURCES = 20_000, 10_000
 
@@ -58,51 +61,97 @@ def allot(tokens: np.ndarray, share: np.ndarray, repeats: np.ndarray, total: flo
     return given
 
 
-def whole_blocks(given: np.ndarray, most: np.ndarray, block: int) -> np.ndarray:
-    """Blocks of each source, by largest remainder, none above `most`."""
-    exact = np.minimum(given / block, most)
-    n = np.floor(exact + 1e-9).astype(np.int64)
-    over = int(round(exact.sum())) - int(n.sum())
-    for i in np.lexsort((np.arange(len(n)), n - exact))[: max(0, over)]:
-        n[i] += n[i] < most[i]
-    return n
-
-
-def draw_shards(blocks: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Blocks of each source in each shard (shards x sources). Each shard is a multinomial draw by what is left, so the totals are met."""
-    rng, left = np.random.default_rng(seed), blocks.astype(np.int64).copy()
-    out = np.zeros((shards, len(blocks)), np.int64)
-    ends = np.arange(1, shards + 1) * int(blocks.sum()) // max(1, shards)
-    for k, size in enumerate(np.diff(ends, prepend=0).tolist()):
-        while size > 0:
-            got = np.minimum(rng.multinomial(size, left / left.sum()), left)
-            out[k] += got
-            left -= got
-            size -= int(got.sum())
-    return out
-
-
-def permute(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Image of x under a pseudorandom permutation of 0 .. n-1 chosen by key: four Feistel rounds, walked on until inside."""
-    half = np.maximum(1, (np.ceil(np.log2(np.maximum(n, 2))).astype(np.uint64) + np.uint64(1)) // np.uint64(2))
+def whole_blocks(given: np.ndarray, tokens: np.ndarray, repeats: np.ndarray, block: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks that each source gives, and the tokens in them: of the numbers of blocks within the cap the one whose tokens
+    are nearest to `given`, the smaller of two. The last block of a source is short, so its turn in the epoch counts."""
+    blocks, quota, mixed = -(-tokens // block), np.zeros(len(tokens), np.int64), np.zeros(len(tokens), np.int64)
+    for i in np.flatnonzero(tokens):
+        t, n = int(tokens[i]), int(blocks[i])
+        rounds = min(int(repeats[i]), int((given[i] + 1e-6) // t))
+        rest = given[i] - rounds * t
+        if rounds == repeats[i] or rest <= 0:
+            quota[i], mixed[i] = rounds * n, rounds * t
+            continue
+        turn = int(permute(np.array([n - 1]), np.array([n]), block_key(seed, np.array([i]), np.array([rounds])), back=True)[0])
+        few = int(rest // block)
+        size = {k: k * block - (block * n - t if k > turn else 0) for k in range(max(0, few - 1), min(n, few + 2) + 1)}
+        k = min(size, key=lambda k: (abs(size[k] - rest), k))
+        quota[i], mixed[i] = rounds * n + k, rounds * t + size[k]
+    return quota, mixed
+
+
+def _divide(left: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+    """A random part of `size` blocks of `left` (blocks of each source): each block goes by the toss of a coin, and
+    multinomial draws, renewed over what is left, make up the size."""
+    got = rng.binomial(left, size / max(1, int(left.sum())))
+    while (off := size - int(got.sum())) != 0:
+        from_ = left - got if off > 0 else got
+        more = np.minimum(rng.multinomial(abs(off), from_ / from_.sum()), from_)
+        got = got + more if off > 0 else got - more
+    return got
+
+
+def draw_shards(blocks: np.ndarray, shards: int, seed: int, first: int = 0, last: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, blocks of each source in it, blocks of each source in the shards before it) of the shards first .. last - 1.
+
+    The totals over all shards are met, shards differ by one block at most, and any range gives what the whole gives.
+    """
+    last, total = shards if last is None else min(last, shards), int(blocks.sum())
+
+    def walk(lo: int, hi: int, have: np.ndarray, before: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if hi <= first or lo >= last:
+            return
+        if hi - lo == 1:
+            yield lo, have, before
+            return
+        mid = (lo + hi) // 2
+        size = mid * total // shards - lo * total // shards
+        part = _divide(have, size, np.random.default_rng((seed, lo, hi)))
+        yield from walk(lo, mid, part, before)
+        yield from walk(mid, hi, have - part, before + part)
+
+    if shards > 0:
+        yield from walk(0, shards, blocks.astype(np.int64), np.zeros(len(blocks), np.int64))
+
+
+def _stir(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def block_key(seed: int, source: np.ndarray, epoch: np.ndarray) -> np.ndarray:
+    """Key of the permutation of a source's blocks in an epoch; source -1 and a shard as epoch: of the slots of a shard."""
+    h = _stir(np.uint64(seed & (1 << 63) - 1) + source.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return _stir(h + epoch.astype(np.int64).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
+
+def permute(x: np.ndarray, n: np.ndarray, key: np.ndarray, back: bool = False) -> np.ndarray:
+    """Image (back: origin) of x under a pseudorandom permutation of 0 .. n-1 chosen by key: four Feistel rounds, walked on until inside."""
+    bits = np.frexp(np.maximum(1, n - 1).astype(float))[1].astype(np.uint64)  # exact below 2**53
+    half = (bits + np.uint64(1)) // np.uint64(2)
     mask = (np.uint64(1) << half) - np.uint64(1)
     out, todo = x.astype(np.uint64), np.arange(len(x))
     key, n = key.astype(np.uint64), n.astype(np.uint64)
     while len(todo):
         h, m, k = half[todo], mask[todo], key[todo]
         left, right = out[todo] >> h, out[todo] & m
-        for r in range(4):
-            f = (right + k + np.uint64((r + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+        for r in range(3, -1, -1) if back else range(4):
+            f = ((left if back else right) + k + np.uint64((r + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
             f = (f ^ (f >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-            left, right = right, left ^ ((f ^ (f >> np.uint64(32))) & m)
+            f = (f ^ (f >> np.uint64(32))) & m
+            left, right = (right ^ f, left) if back else (right, left ^ f)
         out[todo] = (left << h) | right
         todo = todo[out[todo] >= n[todo]]
     return out.astype(np.int64)
 
 
-@F.pandas_udf(LongType())
-def _permuted(x: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
-    return pd.Series(permute(x.to_numpy(np.int64), n.to_numpy(np.int64), key.to_numpy(np.int64)))
+def _permuted(seed: int):
+    @F.pandas_udf(LongType())
+    def f(x: pd.Series, n: pd.Series, source: pd.Series, epoch: pd.Series) -> pd.Series:
+        return pd.Series(permute(x.to_numpy(np.int64), n.to_numpy(np.int64), block_key(seed, source.to_numpy(np.int64), epoch.to_numpy(np.int64))))
+
+    return f
 
 
 def mix_sources(
@@ -119,7 +168,8 @@ def mix_sources(
     Null and empty texts have no tokens; documents whose source is null or not listed stay out; a listed source
     without tokens gives nothing and its share goes to the others in proportion. Null, negative or repeated weights
     are an error of the caller: null counts as 0, and of equal sources the largest share is taken. Sizes are tokens
-    of `vocabulary`. Only sums by source reach the driver, at most MOST_SOURCES of them.
+    of `vocabulary`. Each source gives its share to within half a block. Only sums by source reach the driver, at most
+    MOST_SOURCES of them (more listed sources are refused); shards have no bound.
     """
     spark = docs.sparkSession
     listed = weights.where("source is not null").groupBy("source").agg(
@@ -136,28 +186,30 @@ def mix_sources(
     sums = sized.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens"))
     have = sums.groupBy("source").agg(F.sum("tokens").alias("tokens")).toPandas().set_index("source")["tokens"]
 
-    tokens = few["source"].map(have).fillna(0).to_numpy(float)
+    tokens = few["source"].map(have).fillna(0).to_numpy(np.int64)
     share, repeats = few["share"].clip(lower=0).to_numpy(float), few["repeats"].clip(lower=0).to_numpy(np.int64)
-    blocks = np.ceil(tokens / block).astype(np.int64)
-    quota = whole_blocks(allot(tokens, share, repeats, total_tokens), blocks * repeats, block)
-    shards = int(min(MOST_SHARDS, max(1, quota.sum() // shard_blocks)))
-    counts = draw_shards(quota, shards, seed)
-    before = np.cumsum(counts, axis=0) - counts
-    inside = np.cumsum(counts, axis=1) - counts
-    k, s = np.nonzero(counts)
-    plan = pd.DataFrame({
-        "shard": k.astype(np.int32), "source": few["source"].to_numpy()[s] if len(s) else pd.Series(dtype=str), "n": counts[k, s], "before": before[k, s], "inside": inside[k, s],
-        "size": counts.sum(axis=1)[k], "blocks": blocks[s], "source_key": s.astype(np.int64),
-    })
-    plan_df = spark.createDataFrame(plan, "shard int, source string, n long, before long, inside long, size long, blocks long, source_key long")
-
-    # Slots: the plan's rows are few, so they are spread before they are unfolded.
-    slot = plan_df.repartition("shard", "source").select("*", F.explode(F.expr("sequence(0L, n - 1)")).alias("i"))
+    quota, mixed = whole_blocks(allot(tokens.astype(float), share, repeats, total_tokens), tokens, repeats, block, seed)
+    shards = int(max(1, quota.sum() // shard_blocks)) if quota.sum() else 0
+    names, blocks = few["source"].tolist(), -(-tokens // block)
+
+    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo in range(0, len(b), 256):
+                ids = b["id"].iloc[lo : lo + 256]
+                for k, n, before in draw_shards(quota, shards, seed, int(ids.iloc[0]), int(ids.iloc[-1]) + 1):
+                    s = np.flatnonzero(n)
+                    yield pd.DataFrame({"shard": np.full(len(s), k, np.int32), "source": [names[i] for i in s], "n": n[s], "before": before[s], "inside": (np.cumsum(n) - n)[s], "size": int(n.sum()), "blocks": blocks[s], "source_key": s})
+
+    # Slots: every task draws the shards of its own range and unfolds them; a shard has at most twice shard_blocks slots.
+    tasks = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    drawn = spark.range(0, shards, 1, tasks).mapInPandas(plan, "shard int, source string, n long, before long, inside long, size long, blocks long, source_key long")
+    slot = drawn.select("*", F.explode(F.expr("sequence(0L, n - 1)")).alias("i"))
     slot = slot.withColumn("j", F.col("before") + F.col("i")).withColumn("epoch", F.expr("cast(j div blocks as int)"))
+    permuted = _permuted(seed)
     slot = slot.select(
         "shard", "source", "epoch",
-        _permuted(F.col("inside") + F.col("i"), F.col("size"), F.xxhash64(F.lit(seed), F.lit("slot"), "shard")).alias("slot"),
-        _permuted(F.expr("j % blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), F.lit("block"), "source_key", "epoch")).alias("block"),
+        permuted(F.col("inside") + F.col("i"), F.col("size"), F.lit(-1).cast("long"), F.col("shard").cast("long")).alias("slot"),
+        permuted(F.expr("j % blocks"), F.col("blocks"), F.col("source_key"), F.col("epoch").cast("long")).alias("block"),
     )
 
     # Packing: the place of a document among its source's tokens is the bucket's offset plus the running sum inside the bucket.
@@ -177,18 +229,7 @@ def mix_sources(
     # Neither side has a bound, and the planner can't see how far the slots unfold: no broadcast.
     slots = slot.hint("merge").join(packed, ["source", "block"]).select("shard", "slot", "source", "epoch", "block", "n_tokens", "parts")
 
-    # The last block of a source is short; how often it is used follows from the same permutations, by counting the slots.
-    short = {i: int(tokens[i] - (blocks[i] - 1) * block) for i in range(len(few)) if blocks[i]}
-    mixed = np.zeros(len(few), np.int64)
-    for i in range(len(few)):
-        if quota[i]:
-            rounds, rest = divmod(int(quota[i]), int(blocks[i]))
-            mixed[i] = rounds * int(tokens[i]) + rest * block
-            if rest:
-                key_ = _xxhash(spark, seed, i, rounds)
-                used = _uses_last(int(blocks[i]), rest, key_)
-                mixed[i] -= (block - short[i]) if used else 0
-    report = few.assign(available=tokens.astype(np.int64), mixed=mixed, actual=mixed / max(1, mixed.sum()), most=[-(-int(q) // int(b)) if b else 0 for q, b in zip(quota, blocks)])
+    report = few.assign(available=tokens, mixed=mixed, actual=mixed / max(1, mixed.sum()), most=[-(-int(q) // int(b)) if b else 0 for q, b in zip(quota, blocks)])
     shares = spark.createDataFrame(
         report[["source", "share", "repeats", "available", "mixed", "actual", "most"]],
         "source string, target_share double, max_repeats int, available_tokens long, mixed_tokens long, actual_share double, most_uses int",
@@ -210,16 +251,3 @@ def with_tokens(slots: DataFrame, docs: DataFrame, text: str = "text", key: str
     cut = parts.join(ids, "__doc").select(*place, F.struct("no", F.slice("ids", (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")).alias("ids")).alias("c"))
     whole = cut.groupBy(*place).agg(F.flatten(F.transform(F.sort_array(F.collect_list("c")), lambda c: c["ids"])).alias("ids"))
     return slots.select("shard", "slot", "epoch", *place).hint("merge").join(whole, list(place)).select("shard", "slot", "source", "epoch", "block", "ids")
-
-
-def _xxhash(spark, seed: int, source_key: int, epoch: int) -> int:
-    return spark.range(1).select(F.xxhash64(F.lit(seed), F.lit("block"), F.lit(source_key).cast("long"), F.lit(epoch).cast("int"))).head()[0]
-
-
-def _uses_last(blocks: int, rest: int, key: int) -> bool:
-    """Whether the last block is among the first `rest` of the permutation, tried piece by piece."""
-    for lo in range(0, rest, 1 << 20):
-        x = np.arange(lo, min(rest, lo + (1 << 20)))
-        if (permute(x, np.full(len(x), blocks), np.full(len(x), key)) == blocks - 1).any():
-            return True
-    return False

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder.llm import bpe, canonical, copies, langid, lookalike, mixing, spans
@@ -117,6 +117,25 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "source_weights")).shares
 
 
+@query
+def p8_reached(spark: SparkSession, d: str) -> DataFrame:
+    """Of each listed source its share of the mix as wanted, once sources without tokens are left out, whether its tokens
+    are within half a block of that share of the largest mix, and whether the cap on repeats is kept."""
+    got = mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "source_weights")).shares
+    every = Window.partitionBy()
+    got = got.withColumn("live", F.col("available_tokens") > 0)
+    want = F.when(F.col("live"), F.col("target_share") / F.sum(F.when(F.col("live"), F.col("target_share"))).over(every)).otherwise(0.0)
+    got = got.withColumn("want", want).withColumn("most", F.min(F.when(F.col("live"), F.col("available_tokens") * F.col("max_repeats") / F.col("want"))).over(every))
+    near = F.abs(F.col("mixed_tokens") - F.col("want") * F.coalesce("most", F.lit(0.0))) <= mixing.BLOCK // 2 + 1
+    return got.select("source", F.round("want", 9).alias("wanted_share"), near.alias("reached"), (F.col("most_uses") <= F.col("max_repeats")).alias("cap_kept"))
+
+
+ORACLES["p8_reached"] = """
+WITH s AS (SELECT w.source, w.target_share, w.source IN (SELECT source FROM documents WHERE text <> '') AS live FROM source_weights w)
+SELECT source, round(CASE WHEN live THEN target_share / sum(target_share) FILTER (live) OVER () ELSE 0 END, 9) AS wanted_share, true AS reached, true AS cap_kept FROM s
+"""
+
+
 @query
 def p8_tokens(spark: SparkSession, d: str) -> DataFrame:
     """The mix itself: token ids of every slot."""

@@ -11,6 +11,7 @@ from larder.llm import mixing
 def test_permutation(n, key):
     x = mixing.permute(np.arange(n), np.full(n, n), np.full(n, key))
     assert sorted(x.tolist()) == list(range(n))
+    assert mixing.permute(x, np.full(n, n), np.full(n, key), back=True).tolist() == list(range(n))
 
 
 @settings(max_examples=200, deadline=None)
@@ -29,8 +30,48 @@ def test_allotment(sources, total):
 
 def test_shards_meet_the_totals():
     blocks = np.array([500, 0, 33, 1200])
-    got = mixing.draw_shards(blocks, 7, 1)
-    assert (got.sum(axis=0) == blocks).all() and got.sum(axis=1).max() - got.sum(axis=1).min() <= 1 and len({tuple(r) for r in got.tolist()}) > 1
+    drawn = list(mixing.draw_shards(blocks, 7, 1))
+    got = np.array([n for _, n, _ in drawn])
+    assert [k for k, _, _ in drawn] == list(range(7)) and (got.sum(axis=0) == blocks).all() and got.sum(axis=1).max() - got.sum(axis=1).min() <= 1 and len({tuple(r) for r in got.tolist()}) > 1
+    assert (np.array([b for _, _, b in drawn]) == np.cumsum(got, axis=0) - got).all()
+    for lo, hi in ((0, 3), (3, 4), (5, 9)):
+        part = list(mixing.draw_shards(blocks, 7, 1, lo, hi))
+        assert [(k, n.tolist(), b.tolist()) for k, n, b in part] == [(k, n.tolist(), b.tolist()) for k, n, b in drawn[lo:hi]]
+    assert not list(mixing.draw_shards(blocks * 0, 0, 1))
+
+
+def test_shards_are_a_fair_draw():
+    """A shard's counts vary as those of a random part of all blocks (hypergeometric)."""
+    blocks = np.array([3000, 1000])
+    got = np.array([[n[0] for _, n, _ in mixing.draw_shards(blocks, 16, seed)] for seed in range(200)])
+    assert abs(got.mean() - 187.5) < 0.5 and 0.8 < got.var() / (250 * 0.75 * 0.25 * 15 / 16) < 1.25
+
+
+def test_ten_billion_blocks_and_more_shards_than_could_be_held():
+    tokens, repeats = np.array([512 * 10**10 - 100, 512 * 10**9 + 7, 5000], np.int64), np.array([1, 3, 40])
+    given = mixing.allot(tokens.astype(float), np.array([0.9, 0.0999, 0.0001]), repeats, None)
+    quota, mixed = mixing.whole_blocks(given, tokens, repeats, 512, 7)
+    assert (abs(mixed - given) <= 256).all() and (mixed <= tokens * repeats).all()
+    quota = np.array([9 * 10**9, 10**9, 100], np.int64)
+    shards = 65_536 * 75
+    some = list(mixing.draw_shards(quota, shards, 7, shards - 3, shards))
+    assert [k for k, _, _ in some] == [shards - 3, shards - 2, shards - 1] and (some[-1][1] + some[-1][2] == quota).all()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2000), st.integers(0, 3), st.floats(0, 1)), min_size=1, max_size=5), st.integers(1, 64), st.integers(0, 9))
+def test_quotas_are_the_nearest(sources, block, seed):
+    tokens, repeats = np.array([t for t, _, _ in sources]), np.array([r for _, r, _ in sources])
+    given = np.array([t * r * x for t, r, x in sources])
+    quota, mixed = mixing.whole_blocks(given, tokens, repeats, block, seed)
+    for i, (t, r, _) in enumerate(sources):
+        n = -(-t // block)
+        sizes = [0]
+        for e in range(r):
+            for x in mixing.permute(np.arange(n), np.full(n, n), mixing.block_key(seed, np.full(n, i), np.full(n, e))).tolist():
+                sizes.append(sizes[-1] + (block if x < n - 1 else t - (n - 1) * block))
+        assert mixed[i] == sizes[quota[i]]
+        assert abs(mixed[i] - given[i]) <= min(abs(s - given[i]) for s in sizes) + 1e-6
 
 
 DOCS = "doc_id long, source string, text string, slot long, block string"

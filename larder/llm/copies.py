@@ -1,8 +1,9 @@
 """Duplicates hidden by formatting: one record each, with its number of copies.
 
-The canonical bytes of a record are its code and its words, lower-cased and sorted. Tasks first collapse what they
-hold. Buckets are byte prefixes: a bucket with too many different records is split by further bytes until each fits,
-and the copies of each bucket are counted in a trie with counters at its ends.
+The canonical bytes of a record are its code and its words, lower-cased and sorted. Copies are summed by them before
+anything else, so the records that get buckets are all different, however many copies one has. Buckets are byte
+prefixes: a bucket with too many records is split behind the prefix that its records share, by more and more bytes,
+until each fits, and the copies of each bucket are counted in a trie with counters at its ends.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from larder.session import materialise
 
-#: Different records of a bucket, records that a task collapses at once, and characters by which prefixes grow.
-FITS, LOCAL, STEP = 200_000, 100_000, 2
+#: Records of a bucket, and characters by which the first prefixes exceed what all records share; each round doubles them.
+FITS, STEP = 200_000, 2
 
 
 def canonical(code: Column, text: Column) -> Column:
@@ -31,8 +32,8 @@ def _trie():
     return ahocorasick.Automaton(ahocorasick.STORE_ANY)
 
 
-def _count(batches: Iterator[pa.RecordBatch], by_bucket: bool) -> Iterator[pa.RecordBatch]:
-    """(canon, copies, keep) of each record; a new trie for each bucket, or whenever LOCAL records are held."""
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(canon, copies, keep) of each record; a new trie for each bucket."""
     trie, held = _trie(), None
 
     def flush():
@@ -42,52 +43,48 @@ def _count(batches: Iterator[pa.RecordBatch], by_bucket: bool) -> Iterator[pa.Re
         )
 
     for b in batches:
-        canon, n, keep = (b.column(i).to_pylist() for i in range(3))
-        bucket = b.column(3).to_pylist() if by_bucket else None
-        for i, c in enumerate(canon):
-            if bucket is not None and bucket[i] != held or bucket is None and len(trie) >= LOCAL:
+        for c, n, keep, bucket in zip(*(b.column(i).to_pylist() for i in range(4))):
+            if bucket != held:
                 if len(trie):
                     yield flush()
-                trie = _trie()
-                held = bucket[i] if bucket is not None else None
+                trie, held = _trie(), bucket
             end = trie.get(c, None)
             if end is None:
-                trie.add_word(c, [n[i], keep[i]])
+                trie.add_word(c, [n, keep])
             else:
-                end[0] += n[i]
-                end[1] = min(end[1], keep[i])
+                end[0] += n
+                end[1] = min(end[1], keep)
     if len(trie):
         yield flush()
 
 
-_COUNTED = "canon string, copies long, keep long"
+def _common(a: Column, b: Column) -> Column:
+    """Length of the longest common prefix."""
+    unlike = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: ~x.eqNullSafe(y))
+    return F.coalesce(F.nullif(F.array_position(unlike, F.lit(True)), F.lit(0)) - 1, F.length(a).cast("long")).cast("int")
 
 
 def _buckets(keys: DataFrame, fits: int) -> DataFrame:
-    """keys with `bucket`, the shortest prefix (from the common one on, by STEP characters) that not more than `fits`
-    records share. If all records fit into one bucket, the first prefixes spread them over the tasks."""
-    ends = keys.agg(F.min("canon").alias("a"), F.max("canon").alias("b"), F.max(F.length("canon")).alias("n"), F.count(F.lit(1)).alias("all")).head()
+    """keys (all different) with `bucket`, a prefix that not more than `fits` of them share. If all fit into one bucket,
+    the first prefixes spread them over the tasks. The rounds grow with the logarithm of the longest key at most."""
+    ends = keys.agg(F.min("canon").alias("a"), F.max("canon").alias("b"), F.count(F.lit(1)).alias("all")).select("all", _common(F.col("a"), F.col("b")).alias("same")).head()
     if not ends["all"]:
         return keys.withColumn("bucket", F.lit(""))
-    same = next((i for i, (x, y) in enumerate(zip(ends.a, ends.b)) if x != y), min(len(ends.a), len(ends.b)))
     if ends["all"] <= fits:
-        return keys.withColumn("bucket", F.substring("canon", 1, same + 2 * STEP))
-    bucket, todo, size = F.lit(None).cast("string"), keys.select("canon"), same + STEP
-    labelled = keys
-    while size < ends.n + STEP:
-        prefix = F.substring("canon", 1, size)
-        # Prefixes that are too full: fewer than records / fits, so their list has that bound.
-        over = todo.groupBy(prefix.alias("p")).count().where(F.col("count") > fits).select("p")
-        over = materialise(over)
-        if over.isEmpty():
-            bucket = F.coalesce(bucket, prefix)
-            break
-        mark = over.select(F.col("p").alias(f"p{size}"))
-        labelled = labelled.join(mark, F.substring("canon", 1, size) == F.col(f"p{size}"), "left")
-        bucket = F.coalesce(bucket, F.when(F.col(f"p{size}").isNull(), prefix))
-        todo = todo.join(over, prefix == F.col("p"), "left_semi")
-        size += STEP
-    return labelled.select(*keys.columns, F.coalesce(bucket, F.col("canon")).alias("bucket"))
+        return keys.withColumn("bucket", F.substring("canon", 1, ends["same"] + 2 * STEP))
+    step, labelled = STEP, keys.withColumn("bucket", F.substring("canon", 1, ends["same"] + STEP))
+    while True:
+        # Buckets that are too full: fewer than records / fits, so their list has that bound.
+        full = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("canon").alias("a"), F.max("canon").alias("b")).where(F.col("n") > fits)
+        full = materialise(full.select("bucket", (_common(F.col("a"), F.col("b")) + 2 * step).alias("size")))
+        if full.isEmpty():
+            return labelled
+        step *= 2
+        split = labelled.join(full, "bucket", "left")
+        labelled = split.select(*keys.columns, F.coalesce(F.substring("canon", F.lit(1), F.col("size")), F.col("bucket")).alias("bucket"))
+
+
+_COUNTED = "canon string, copies long, keep long"
 
 
 def count_copies(df: DataFrame, code: str = "code", text: str = "ingredient", key: str = "row_id", fits: int = FITS) -> DataFrame:
@@ -95,13 +92,12 @@ def count_copies(df: DataFrame, code: str = "code", text: str = "ingredient", ke
 
     Records are copies if they have the same code and the same words, each as often, whatever the letter case, white
     space, punctuation and order. Rows with a null code, text or key are no records. However many copies a record has,
-    a task sends one row for it.
+    a task sends one row for it, and it takes one place in its bucket.
     """
     rows = df.select(canonical(F.col(code), F.col(text)).alias("canon"), F.lit(1).cast("long").alias("copies"), F.col(key).cast("long").alias("keep")).where("canon is not null and keep is not null")
-    keys = materialise(rows.mapInArrow(lambda b: _count(b, by_bucket=False), _COUNTED))
+    keys = materialise(rows.groupBy("canon").agg(F.sum("copies").alias("copies"), F.min("keep").alias("keep")))
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = _buckets(keys, fits)
-    return spread.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _count(b, by_bucket=True), _COUNTED)
+    return _buckets(keys, fits).repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_count, _COUNTED)
 
 
 def copies(df: DataFrame, code: str = "code", text: str = "ingredient", key: str = "row_id", fits: int = FITS) -> DataFrame:

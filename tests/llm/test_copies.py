@@ -37,12 +37,38 @@ def test_one_group_holds_a_third(spark):
     assert run(spark, data, fits=100) == brute(data)
 
 
-def test_long_texts_local_flush_and_empty(spark, monkeypatch):
+def rounds(spark, data, fits, monkeypatch):
+    made = []
+    monkeypatch.setattr(copies, "materialise", lambda df: made.append(1) or df)
+    assert run(spark, data, fits=fits) == brute(data)
+    return len(made)
+
+
+def test_a_hot_record_takes_no_further_rounds(spark, monkeypatch):
+    few = [(i, "7", f"oat milk salt rice flour bean{i}") for i in range(150)]
+    hot = [(1000 + i, "7", "Oat milk, salt rice flour bean7") for i in range(300)]
+    assert rounds(spark, few + hot, 20, monkeypatch) <= rounds(spark, few, 20, monkeypatch) + 1
+
+
+def test_rounds_grow_with_the_logarithm_of_the_length(spark, monkeypatch):
+    data = [(i, "7", "a" * (3 * i + 1)) for i in range(120)]  # each the prefix of the next
+    assert rounds(spark, data, 2, monkeypatch) <= 9
+
+
+def test_buckets_fit(spark):
+    keys = spark.createDataFrame([(f"{i % 3}{i:04d}" if i % 2 else f"same long beginning {i:03d}", 1, i) for i in range(400)], "canon string, copies long, keep long")
+    got = copies._buckets(keys, 30).collect()
+    assert len(got) == 400 and all(r.canon.startswith(r.bucket) for r in got)
+    sizes = {}
+    for r in got:
+        sizes[r.bucket] = sizes.get(r.bucket, 0) + 1
+    assert max(sizes.values()) <= 30
+
+
+def test_long_texts_and_empty(spark):
     long = " ".join(f"w{i}" for i in range(5000))
     data = [(1, "a", long), (2, "a", long.upper()), (3, "a", long[:-1])]
     assert run(spark, data) == brute(data)
-    monkeypatch.setattr(copies, "LOCAL", 2)
-    assert run(spark, DATA) == brute(DATA)
     assert run(spark, []) == []
 
 

@@ -21,6 +21,8 @@ from larder.session import materialise
 SPAN = 200
 #: Characters hashed at once; longer texts are cut into pieces that overlap by span - 1. Below 2**24 (see _elect).
 PIECE = 1 << 20
+#: Different runs of windows around one anchor that a task compares at once.
+CROWD = 100_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -104,13 +106,14 @@ def _windows(codes: np.ndarray, at: list[int], span: int, gram: int, whole: bool
     return starts[valid], owner[valid], elected[valid], got[0], got[1] if whole else None
 
 
-def shared_spans(df: DataFrame, text: str = "text", key: str = "doc_id", span: int = SPAN) -> DataFrame:
+def shared_spans(df: DataFrame, text: str = "text", key: str = "doc_id", span: int = SPAN, crowd: int = CROWD) -> DataFrame:
     """`key`, shared_chars (long): records with a character in a span of `span` or more code points that stands
     verbatim in another record, and the number of such characters.
 
     Null, empty and shorter texts have none; repeats inside one record alone don't count; two records with equal
-    texts share all of them. Rows of one key are one record, rows with a null key are none. Any length of text, and any number of records that
-    hold one passage, keeps its exact result: nothing is capped, and of equal runs of windows each task sends two.
+    texts share all of them. Rows of one key are one record, rows with a null key are none. Any length of text, and any
+    number of records that hold one passage, keeps its exact result: nothing is capped, and of equal runs of windows each
+    task sends two. Anchors with more than `crowd` runs take a way of their own to the same result.
     """
     gram = max(1, span // 3)
     kind = df.schema[key].dataType.simpleString()
@@ -178,13 +181,14 @@ def shared_spans(df: DataFrame, text: str = "text", key: str = "doc_id", span: i
                 )
 
     runs = materialise(docs.join(marks, "__key").mapInArrow(candidates, f"__key {kind}, anchor long, start long, run long, hashes array<long>"))
-    # Windows with equal text elect one anchor, so one exchange by anchor brings them together; the window and the grouping need no other.
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_anchor = runs.where("hashes is not null").select("__key", "anchor", "run", "hashes").repartition(partitions, "anchor")
-    same = Window.partitionBy("anchor", "hash")
-    each = by_anchor.select("__key", "anchor", "run", F.posexplode("hashes").alias("i", "hash"))
-    each = each.select("anchor", "run", "i", (F.min("__key").over(same) < F.max("__key").over(same)).alias("shared"))
-    masks = each.where("shared").groupBy("anchor", "run").agg(F.collect_set("i").alias("hits"))
+    listed = runs.where("hashes is not null").select("__key", "anchor", "run", "hashes")
+    # An anchor that stands in very many different contexts would gather all their windows in one task. Such anchors are
+    # fewer than runs / CROWD; their windows are spread by their own hashes, of which each task sends one row.
+    crowded = materialise(listed.groupBy("anchor").count().where(F.col("count") > crowd).select("anchor"))
+    if crowded.isEmpty():
+        masks = _masks_by_anchor(listed)
+    else:
+        masks = _masks_by_anchor(listed.join(crowded, "anchor", "left_anti")).unionByName(_masks_by_hash(listed.join(crowded, "anchor", "left_semi")))
     starts = runs.select("__key", "start", "anchor", "run").join(masks, ["anchor", "run"]).groupBy("__key").agg(F.collect_list(F.struct("start", "hits")).alias("r"))
     starts = starts.select("__key", F.expr("sort_array(array_distinct(flatten(transform(r, x -> transform(x.hits, i -> x.start + i)))))").alias("s"))
     # Each start adds the characters up to the next start, at most `span`.
@@ -192,6 +196,23 @@ def shared_spans(df: DataFrame, text: str = "text", key: str = "doc_id", span: i
     return starts.select(F.col("__key").alias(key), F.expr(gaps).alias("shared_chars"))
 
 
+def _masks_by_anchor(listed: DataFrame) -> DataFrame:
+    """anchor, run, hits: places in the run whose windows stand in two records. Windows with equal text elect one anchor,
+    so one exchange by anchor brings them together; the window and the grouping need no other."""
+    partitions = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    same = Window.partitionBy("anchor", "hash")
+    each = listed.repartition(partitions, "anchor").select("__key", "anchor", "run", F.posexplode("hashes").alias("i", "hash"))
+    each = each.select("anchor", "run", "i", (F.min("__key").over(same) < F.max("__key").over(same)).alias("shared"))
+    return each.where("shared").groupBy("anchor", "run").agg(F.collect_set("i").alias("hits"))
+
+
+def _masks_by_hash(listed: DataFrame) -> DataFrame:
+    """The same for crowded anchors: windows are summed up by their hashes first, and runs meet the shared ones."""
+    each = listed.select("__key", "anchor", "run", F.posexplode("hashes").alias("i", "hash"))
+    twice = each.groupBy("hash").agg(F.min("__key").alias("a"), F.max("__key").alias("b")).where("a < b").select("hash")
+    return each.join(twice, "hash", "left_semi").groupBy("anchor", "run").agg(F.collect_set("i").alias("hits"))
+
+
 def shared_units(df: DataFrame, text: str = "text", key: str = "doc_id", separator: str = r"\n+", least: int = 40) -> DataFrame:
     """Lines or paragraphs that stand in several places: `key`, unit_no (int, from 0), start (long, code points
     before the unit), n_chars (int), digest, copies (long), keep (boolean).

@@ -21,9 +21,9 @@ def brute(texts, n):
     return out
 
 
-def run(spark, texts, n):
+def run(spark, texts, n, **kw):
     df = spark.createDataFrame([(k, t, 1, "x") for k, t in texts.items()], "doc_id long, text string, anchor int, hash string").repartition(5)
-    return {r.doc_id: r.shared_chars for r in spans.shared_spans(df, span=n).collect()}
+    return {r.doc_id: r.shared_chars for r in spans.shared_spans(df, span=n, **kw).collect()}
 
 
 @pytest.mark.parametrize(("n", "seed"), [(12, 1), (12, 2), (30, 3), (30, 4)])
@@ -43,6 +43,17 @@ def test_against_brute_force(spark, n, seed):
     assert run(spark, texts, n) == brute(texts, n)
 
 
+def test_crowded_anchors(spark):
+    """One stretch, shorter than a span, in hundreds of contexts, some of which come twice."""
+    rng = random.Random(6)
+    word = lambda k: "".join(rng.choices("abcdefghij", k=k))
+    stretch = word(28)
+    texts = {k: word(40) + stretch + word(40) for k in range(150)}
+    texts |= {1000 + k: word(9) + texts[k][20:80] + word(9) for k in range(0, 150, 5)}
+    want = brute(texts, 36)
+    assert len(want) >= 60 and run(spark, texts, 36, crowd=10) == run(spark, texts, 36) == want
+
+
 def test_pieces_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(spans, "PIECE", 64)
     rng = random.Random(9)

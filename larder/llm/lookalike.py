@@ -1,8 +1,10 @@
 """Visually identical text with different characters: one plain form for every value.
 
 Ignorable characters go, compatibility forms of letters, spaces and hyphens become ordinary ones, accents are
-composed. Words that still mix scripts are read as a lattice, every letter with the letters of each script that it
-looks like; the best path inside one script under that script's letter bigrams, found by Viterbi, is the word.
+composed. Words that still mix scripts, and words of another script among Latin ones whose letters all look Latin, are
+read as a lattice, every letter with the letters of each script that it looks like; the best path inside one script
+under that script's letter bigrams is found by Viterbi. A mixed word is Latin if it has a Latin path, else its cheapest;
+a word wholly in another script stays in it unless the scores, with the share of each script's words, are for Latin.
 Bigrams are counted over all values.
 """
 
@@ -82,13 +84,21 @@ class Plain:
     def __init__(self, bigrams: dict[tuple[str, str], int] | None = None) -> None:
         self.memo: dict[str, str] = {}
         self.char: dict[str, str] = {}
-        self.cost: dict[tuple[str, str], float] = {}
+        self.seen = bigrams or {}
         total: dict[tuple[str, str], int] = defaultdict(int)
-        for (s, g), n in (bigrams or {}).items():
+        ends: dict[tuple[str, str], int] = defaultdict(int)
+        for (s, g), n in self.seen.items():
             total[s, g[0]] += n
-        for (s, g), n in (bigrams or {}).items():
-            self.cost[s, g] = -math.log((n + 0.2) / (total[s, g[0]] + 20))
-        self.unseen = {k: -math.log(0.2 / (n + 20)) for k, n in total.items()}
+            ends[s, g[1]] += n
+        every: dict[str, int] = defaultdict(int)
+        for (s, _), n in ends.items():
+            every[s] += n
+        self.before = total
+        self.share = {k: (n + 0.5) / (every[k[0]] + 20) for k, n in ends.items()}  # of a letter among all that follow one
+        self.none = {s: 0.5 / (n + 20) for s, n in every.items()}
+        said = {s: total.get((s, "^"), 0) for s in "LCG"}
+        #: Price of a script: how rare its words are. Without counts nothing speaks against Latin.
+        self.rare = {s: -math.log((n + 0.5) / (sum(said.values()) + 1.5)) for s, n in said.items()}
 
     def __call__(self, value: str) -> str:
         if _SURELY_PLAIN.match(value):
@@ -130,20 +140,22 @@ class Plain:
         return unicodedata.normalize("NFC", "".join(out))
 
     def word(self, word: str, among_latin: bool) -> str:
-        """The word in one script. A word wholly in another script stays, unless each of its letters looks Latin and all its neighbours are."""
+        """The word in one script. A word wholly in another script stays, unless its neighbours are Latin, each of its letters looks Latin, and the scores are for Latin."""
         letters = [c for c in word if c.isalpha()]
         own = {script(c) for c in letters}
         if own == {"L"} and not any(c in PHONETIC for c in letters) or len(own) == 1 and own != {"L"} and not among_latin:
             return word
-        best, least = word, math.inf
-        for s in "LCG":
-            path, cost = self.viterbi(letters, s)
-            # A word that mixes scripts is Latin if it can be read so.
-            if path and (cost if s != "L" else cost - 1e6) < least:
-                best, least = path, cost if s != "L" else cost - 1e6
-        if least is math.inf:
+        read = {s: self.viterbi(letters, s) for s in "LCG"}
+        cost = {s: c + self.rare[s] for s, (path, c) in read.items() if path}
+        if not cost:
             return word
-        it = iter(best)
+        if "L" in cost and (len(own) > 1 or own == {"L"}):  # a mixed word
+            best = "L"
+        elif len(own) == 1:
+            best = min((s for s in cost if s in own or s == "L"), key=lambda s: (cost[s], s != "L"))
+        else:
+            best = min(cost, key=lambda s: (cost[s], s))
+        it = iter(read[best][0])
         return "".join(next(it) if c.isalpha() else c for c in word)
 
     def viterbi(self, letters: list[str], s: str) -> tuple[list[str], float]:
@@ -162,8 +174,13 @@ class Plain:
         return path, cost
 
     def _cost(self, s: str, a: str, b: str) -> float:
+        """Of the bigram, drawn towards the share of its second letter the more, the rarer the first is."""
         a, b = a.lower(), b.lower()
-        return self.cost.get((s, a + b), self.unseen.get((s, a), 4.0))
+        if s not in self.none:  # no word of this script was counted
+            return 4.0
+        n = self.before.get((s, a), 0)
+        pull = 5 + math.sqrt(n)
+        return -math.log((self.seen.get((s, a + b), 0) + pull * self.share.get((s, b), self.none[s])) / (n + pull))
 
 
 def letter_bigrams(df: DataFrame, column: str) -> dict[tuple[str, str], int]:

@@ -53,3 +53,38 @@ def test_table(spark):
     assert everything[3] is None and everything[2] == "rye" and len(everything) == 6
     assert lk.plain_values(df.limit(0), "value").count() == 0
     assert lk.letter_bigrams(spark.createDataFrame([("rye bread",), ("Rye",), (None,)], "v string"), "v")[("L", "ry")] == 2
+
+
+#: Words all of whose letters look Latin.
+RUSSIAN = "сок соус сахар какао торт кекс мак рак творог сорт масса хурма карп корка мускат томат морс маца курага сахара соуса торта корма сорта томата мака рака какого"
+GREEK = "νερο κρεας τυρι ροκα κακαο καρυα κερασι τοματα κορινα κυανο ουσια ραχη κοτα νερα κρατα ροκας τοματας κοτας καρυο"
+ENGLISH = "cacao corn oat rye soy wheat rice barley cocoa spice salt pepper honey cheese butter cream carrot onion potato tomato apple orange pear cherry bacon ham chicken pork sauce sugar yeast starch maize oil rape beer porter oyster crab"
+
+
+def pairs(words):
+    out = {}
+    for s, w in words:
+        for a, b in zip("^" + w, w + "$"):
+            out[s, a + b] = out.get((s, a + b), 0) + 40
+    return out
+
+
+def test_scores_choose_the_script_of_unseen_words():
+    of = {s: text.split() for s, text in (("L", ENGLISH), ("C", RUSSIAN), ("G", GREEK))}
+    back = {v: k for k, v in lk.CYRILLIC.items() if k.islower()}
+    right = total = 0
+    for part in range(4):
+        plain = lk.Plain(pairs((s, w) for s, ws in of.items() for i, w in enumerate(ws) if i % 4 != part))
+        for s in "CG":
+            for w in of[s][part::4]:
+                right, total = right + (plain(f"Coca Cola {w}") == f"Coca Cola {w}"), total + 1
+        for w in of["L"][part::4]:
+            disguised = "".join(back.get(c, c) for c in w)
+            right, total = right + (plain(f"Coca Cola {disguised}") == f"Coca Cola {w}"), total + 1
+    assert total > 80 and right / total >= 0.85, right / total
+
+
+def test_a_genuine_word_among_latin_ones_stays():
+    plain = lk.Plain(pairs([("C", w) for w in RUSSIAN.split()] + [("L", w) for w in ENGLISH.split()]))
+    assert plain("Coca Cola сок") == "Coca Cola сок" and plain("Coca Cola соk") == "Coca Cola cok"
+    assert lk.Plain(pairs([("L", w) for w in ENGLISH.split()]))("rye оаt осоа") == "rye oat ocoa"

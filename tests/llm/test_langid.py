@@ -78,3 +78,63 @@ def test_both_fields_have_a_language_and_confidence(spark):
     for field in ("ingredients_text", "product_name"):
         worded = {r.row_id for r in rows.itertuples() if langid.words(getattr(r, field) or "")}
         assert len(worded - set(got["row_id"][got["field"] == field])) <= 0.02 * len(worded)
+
+
+RUSSIAN = "мука пшеничная, сахар, соль, молоко, масло, яйца, вода питьевая, дрожжи, сыр, мёд"
+UKRAINIAN = "борошно пшеничне, цукор, сіль, молоко незбиране, олія, яйця, вода питна, дріжджі, сир кисломолочний, мед"
+
+
+def test_languages_of_one_script_are_told_by_their_grams(spark):
+    samples = spark.createDataFrame([("en", SAMPLES[0][1]), ("ru", RUSSIAN), ("uk", UKRAINIAN)], "lang string, text string")
+    rows = spark.createDataFrame([(1, None, None)], "row_id long, t string, label string")
+    reader = langid.Reader(langid.learn(rows, samples, (("t", "label"),)))
+    assert reader.one("цукор та сіль, олія")[0] == "uk" and reader.one("сахар, мука пшеничная, масло")[0] == "ru"
+    assert [(lang, n) for lang, _, n in reader.segments(*langid.parts(["sugar, whole milk, цукор, сіль, борошно пшеничне"])[0])] == [("en", 2), ("uk", 3)]
+    assert reader.one("Γιαούρτι με μέλι")[0] == "el"  # no sample is Greek
+
+
+@pytest.mark.parametrize("n", [16, 17, 40])
+def test_many_languages_and_many_samples(spark, n):
+    """No language is lost, wherever it stands in the alphabet and whatever number of samples stand before it."""
+    rng = random.Random(n)
+    word = lambda seed: "".join(random.Random(str(seed)).choices("abcdefghijklmnopqrstuvwxyz", k=8))
+    samples = [(f"l{i:02d}", ", ".join(word((i, rng.randrange(30))) for _ in range(12))) for i in range(n) for _ in range(60 if i else 400)]
+    rows = spark.createDataFrame([(1, None, None)], "row_id long, t string, label string")
+    f = langid.learn(rows, spark.createDataFrame(samples, "lang string, text string"), (("t", "label"),), sample_rows=50)
+    reader = langid.Reader(f)
+    assert len(f.languages) == n and all(reader.one(", ".join(word((i, k)) for k in range(4)))[0] == f"l{i:02d}" for i in range(n))
+    with pytest.raises(ValueError):
+        langid.Lesson([str(i) for i in range(langid.MOST_LANGUAGES + 1)])
+
+
+def test_tasks_learn_what_one_would(spark):
+    samples = SAMPLES * 5
+    rows = spark.createDataFrame([(1, None, None)], "row_id long, t string, label string")
+    f, g = langid.learn(rows, spark.createDataFrame(samples, "lang string, text string").repartition(4), (("t", "label"),)), langid.Filters.learn(samples)
+    assert f.languages == g.languages and (f.masks == g.masks).all() and f.scripts == g.scripts
+    empty = langid.learn(rows, spark.createDataFrame([], "lang string, text string"), (("t", "label"),))
+    assert langid.Reader(empty).one("sugar") == ("und", 0.0)
+
+
+def calibration_error(told):
+    """Mean distance between confidence and accuracy over ten bins of (confidence, right)."""
+    bins = {}
+    for c, ok in told:
+        bins.setdefault(min(9, int(c * 10)), []).append((c, ok))
+    return sum(abs(sum(c for c, _ in b) - sum(ok for _, ok in b)) for b in bins.values()) / len(told)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_confidence_is_calibrated_on_held_out_values(spark):
+    from pyspark.sql import functions as F
+
+    rows, samples = spark.read.parquet(f"{DATA}/products_with_language1.parquet"), spark.read.parquet(f"{DATA}/lang_samples.parquet")
+    fields, told = (("ingredients_text", "lang_ingredients_text"), ("product_name", "lang_product_name")), []
+    for half in (0, 1):
+        reader = langid.Reader(langid.learn(rows, samples.where(F.col("sample_id") % 2 == half), fields))
+        for r in samples.where(F.col("sample_id") % 2 != half).collect():
+            for v in langid.parts([r.text])[0][0]:
+                if (got := reader.one(v)) and got[0] != langid.UNKNOWN:
+                    told.append((got[1], got[0] == r.lang))
+    print("values", len(told), "accuracy", sum(ok for _, ok in told) / len(told), "calibration error", calibration_error(told))
+    assert calibration_error(told) < 0.1

@@ -1,7 +1,8 @@
 """Rows that fail to parse: one anchored pattern for whole rows, field-prefix patterns for the ones that miss it.
 
-The patterns are generated from a schema and run as Java patterns inside the plan. Every repetition is possessive, so
-they neither backtrack nor recurse, whatever the length of a row.
+The patterns are generated from a schema and run as Java patterns inside the plan. The prefix patterns of 1, 2, .. fields
+are nested into one, which takes in field after field in a single pass; how far it comes tells the first broken field.
+Every repetition is possessive, so they neither backtrack nor recurse, whatever the length of a row.
 """
 
 from __future__ import annotations
@@ -57,41 +58,45 @@ def row_pattern(schema: tuple[Field, ...]) -> str:
     return r"\A" + r"\t".join(f.cell for f in schema) + r"\z"
 
 
-def prefix_pattern(schema: tuple[Field, ...], n: int) -> str:
-    """The first n fields hold what their schema allows."""
-    return r"\A" + r"\t".join(f.cell for f in schema[:n]) + r"(?=\t|\z)"
+def prefix_pattern(cells: list[str]) -> str:
+    """As many of the cells as fit, one after another, each behind a tab: the pattern of every prefix in one."""
+    out = ""
+    for cell in reversed(cells):
+        out = rf"(?:\t{cell}{out})?+"
+    return r"\A" + out
 
 
-def _quoting_broken(line: Column) -> Column:
-    # Sound cells, then a quoted one that never ends or goes on after its closing quote.
-    return line.rlike(rf'\A(?:{_CELL}\t)*+"[^"]*+(?:""[^"]*+)*+(?:\z|"(?!\t|\z))')
+def _taken(line: Column, pattern: str) -> tuple[Column, Column]:
+    """Fields that a prefix pattern takes in, and whether they are the whole row."""
+    row = F.concat(F.lit("\t"), line)
+    got = F.regexp_extract(row, pattern, 0)
+    return F.regexp_count(got, F.lit(rf"\G\t{_CELL}")), F.length(got) == F.length(row)
 
 
 def with_reason(lines: DataFrame, line: str = "raw_line", schema: tuple[Field, ...] = PRODUCT_LINE) -> DataFrame:
     """lines with `reason` (null for a row that loads) and `bad_field`, the first field that breaks.
 
-    reason is the first that holds of `quoting`, `columns` (not as many fields as the schema) and `value`. A null or
-    empty row has no fields: `columns`. bad_field is null where the fields are sound but too few or too many. All
-    columns of lines are kept; columns named reason or bad_field are replaced. Repeated rows are judged alike.
+    reason is the first that holds of `quoting`, `columns` (not as many fields as the schema) and `value`. bad_field is
+    the field whose quotes are broken, else the first that the prefix patterns don't take in: it has a wrong value or is
+    missing; null where all fields of the schema are sound and more follow. A null row has no fields, an empty one an
+    empty field. All columns of lines are kept; columns named reason or bad_field are replaced. Repeated rows are
+    judged alike. Only rows that miss the whole-row pattern meet the others.
     """
-    c = F.col(line)
-    whole = c.rlike(row_pattern(schema))
-    counted = c.rlike(r"\A(?:%s\t){%d}%s\z" % (_CELL, len(schema) - 1, _CELL))
-    reason = F.when(whole, F.lit(None).cast("string")).when(_quoting_broken(c), "quoting").when(counted, "value").otherwise("columns")
-    bad = F.when(F.col("reason") == "value", _first_broken(c, schema)).when(F.col("reason") == "quoting", _broken_quote_field(c, schema))
-    return lines.withColumn("reason", reason).withColumn("bad_field", bad)
-
-
-def _first_broken(c: Column, schema: tuple[Field, ...]) -> Column:
-    out = F.when(~c.rlike(prefix_pattern(schema, 1)), schema[0].name)
-    for n in range(2, len(schema) + 1):
-        out = out.when(~c.rlike(prefix_pattern(schema, n)), schema[n - 1].name)
-    return out
-
-
-def _broken_quote_field(c: Column, schema: tuple[Field, ...]) -> Column:
-    cells = F.size(F.regexp_extract_all(F.regexp_extract(c, rf"\A(?:{_CELL}\t)*+", 0), F.lit(rf"\G{_CELL}\t"), F.lit(0)))
-    return F.element_at(F.array(*(F.lit(f.name) for f in schema), F.lit(None).cast("string")), F.least(cells + 1, F.lit(len(schema) + 1)))
+    c = F.coalesce(F.col(line), F.lit(""))
+    cells, all_sound = _taken(c, rf"\A(?:\t{_CELL})*+")
+    passed, _ = _taken(c, prefix_pattern([f.cell for f in schema]))
+    fails = ~F.coalesce(F.col(line).rlike(row_pattern(schema)), F.lit(False))
+    names = F.array(*(F.lit(f.name) for f in schema))
+    told = F.when(~all_sound, F.struct(F.lit("quoting").alias("reason"), F.get(names, cells).alias("bad_field")))
+    reason = F.when(cells != len(schema), "columns").when(passed < len(schema), "value")
+    told = told.otherwise(F.struct(reason.alias("reason"), F.get(names, passed).alias("bad_field")))
+    out = lines.withColumn("__told", F.when(fails, told))
+    return out.withColumn("reason", F.col("__told.reason")).withColumn("bad_field", F.col("__told.bad_field")).drop("__told")
+
+
+def quote_left_open(line: Column) -> Column:
+    """Whether the row ends inside a quoted field, so that the record may go on behind a line feed."""
+    return F.concat(F.lit("\t"), line).rlike(rf'\A(?:\t{_CELL})*+\t"[^"]*+(?:""[^"]*+)*+\z')
 
 
 def rejected(lines: DataFrame, line: str = "raw_line", schema: tuple[Field, ...] = PRODUCT_LINE) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larder.functions import text as T
 from larder.operators import packed, rejects, tags
 from larder.plans import duck as D
-from larder.plans.registry import Tables, query
+from larder.plans.registry import ORACLES, Tables, query
 
 C = F.col
 
@@ -27,13 +27,20 @@ def p1_found(t: Tables) -> DataFrame:
     return rejects.rejected(t.product_lines).select("line_id", "reason")
 
 
-@query()
-def p1_fields(t: Tables) -> DataFrame:
-    """Reason and first broken field of every line, null for those that load."""
-    return rejects.with_reason(t.product_lines).select("line_id", "reason", "bad_field")
+_NAMES_OF = [f.name for f in rejects.PRODUCT_LINE]
 
 
-_NAMES_OF = [f.name for f in rejects.PRODUCT_LINE]
+def _first_missed(cells: list[str]) -> str:
+    """Name of the first field whose prefix of cells a line doesn't hold."""
+    tests = (f"WHEN NOT regexp_matches(raw_line, '^{r'\t'.join(cells[: i + 1])}(?:\t|$)', 's') THEN '{name}'" for i, name in enumerate(_NAMES_OF))
+    return f"CASE {' '.join(tests)} END"
+
+
+@query(f"""SELECT line_id, reason, CASE WHEN raw_line IS NULL THEN 'code' WHEN reason = 'quoting' THEN {_first_missed([_CELL] * 15)} ELSE {_first_missed(_TYPED)} END AS bad_field
+FROM ({ORACLES["p1_found"]}) JOIN product_lines USING (line_id)""")
+def p1_reasons(t: Tables) -> DataFrame:
+    """Reason and first broken field of every line that can't be loaded."""
+    return rejects.rejected(t.product_lines).select("line_id", "reason", "bad_field")
 
 
 def _cell_sql(name: str) -> str:

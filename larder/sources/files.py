@@ -4,18 +4,38 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from larder.operators import rejects
 
-def read_delimited(spark: SparkSession, path: str, columns: list[str], separator: str = "\t") -> DataFrame:
-    """Text values of a delimited file with a header, projected to `columns`; rows of another width are skipped."""
-    names = spark.read.csv(path, sep=separator, header=True, quote='"', escape='"').columns
-    schema = ", ".join(f"`{c}` string" for c in names)
-    return spark.read.schema(schema).csv(path, sep=separator, header=True, mode="DROPMALFORMED", quote='"', escape='"', multiLine=True).select(*(f"`{c}`" for c in columns))
+
+def read_delimited(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Text values of tab-separated files with a header, projected to `columns`; rows of another width or with broken quotes are skipped.
+
+    Files are split over tasks and parsed line by line with the patterns of operators.rejects. Only if a scan finds a
+    line that ends inside quotes are records taken to span lines; then each file is read by one task.
+    """
+    names = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"').columns
+    lines = spark.read.text(path)
+    if not lines.where(rejects.quote_left_open(F.col("value"))).isEmpty():
+        schema = ", ".join(f"`{c}` string" for c in names)
+        return spark.read.schema(schema).csv(path, sep="\t", header=True, mode="DROPMALFORMED", quote='"', escape='"', multiLine=True).select(*(f"`{c}`" for c in columns))
+    fields = tuple(rejects.Field(c) for c in names)
+    rows = rejects.loaded(lines, "value", fields)
+    header = reduce(and_, (F.col(f"`{c}`").eqNullSafe(c) for c in names))
+    return rows.where(~header).select(*(f"`{c}`" for c in columns))
+
+
+def load_lines(spark: SparkSession, path: str, schema: tuple[rejects.Field, ...] = rejects.PRODUCT_LINE) -> tuple[DataFrame, DataFrame]:
+    """p1 for raw files of one record a line, without a header: rows that load, and raw_line, batch_file, reason and bad_field of the others. Files are split over tasks."""
+    lines = spark.read.text(path).select(F.col("value").alias("raw_line"), F.col("_metadata.file_path").alias("batch_file"))
+    return rejects.loaded(lines, schema=schema), rejects.rejected(lines, schema=schema)
 
 
 def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...] | None = None) -> DataFrame:

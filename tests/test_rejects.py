@@ -80,10 +80,18 @@ def test_empty_table(spark):
 
 
 def test_bad_field(spark):
-    line = "\t".join(["12345678", "a", "", "", "x\x01", *[""] * 9, "9"])
-    quote = "\t".join(["12345678", '"a', *[""] * 13])
-    df = spark.createDataFrame([(1, line), (2, quote), (3, "x")], "line_id long, raw_line string")
-    assert {r.line_id: r.bad_field for r in rejects.rejected(df).collect()} == {1: "ingredients_text", 2: "product_name", 3: None}
+    good = ["12345678", "a", "", "", "x", *[""] * 9, "1"]
+    change = lambda i, x: "\t".join([*good[:i], x, *good[i + 1 :]])
+    lines = {
+        1: change(4, "x\x01"), 2: change(1, '"a'), 3: "x", 4: "\t".join(good[:9]), 5: "\t".join([*good, "more"]), 6: "\t".join([*good, '"more']), 7: None, 8: "", 9: change(14, "9"), 10: change(0, ""),
+        11: "\t".join([*good[:4], "x\x01"]), 12: "\t".join(good),
+    }
+    df = spark.createDataFrame(list(lines.items()), "line_id long, raw_line string")
+    got = {r.line_id: (r.reason, r.bad_field) for r in rejects.rejected(df).collect()}
+    assert got == {
+        1: ("value", "ingredients_text"), 2: ("quoting", "product_name"), 3: ("columns", "code"), 4: ("columns", "origins"), 5: ("columns", None), 6: ("quoting", None), 7: ("columns", "code"), 8: ("columns", "code"),
+        9: ("value", "completeness"), 10: ("value", "code"), 11: ("columns", "ingredients_text"),
+    }
 
 
 @pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no test tables")
@@ -92,12 +100,35 @@ def test_the_query_names_the_first_broken_field(spark):
 
     at = "/root/testdata/sf0.1"
     lines = {r.line_id: r.raw_line for r in spark.read.parquet(f"{at}/product_lines.parquet").collect()}
-    got = QUERIES["p1_fields"](spark, at).collect()
-    assert {(r.line_id, r.reason) for r in got if r.reason} == {tuple(r) for r in QUERIES["p1_found"](spark, at).collect()}
-    assert sorted(r.line_id for r in got) == sorted(lines) and all((r.bad_field is not None) == (r.reason in ("value", "quoting")) for r in got)
+    plan = QUERIES["p1_found"](spark, at)
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") >= 2  # both prefix patterns
+    got = QUERIES["p1_reasons"](spark, at).collect()
+    assert {(r.line_id, r.reason) for r in got} == {tuple(r) for r in plan.collect()}
     values = [r for r in got if r.reason == "value"]
     assert values
     for r in values:
         cells = re.findall(r'(?:^|\t)("(?:[^"]|"")*"|[^\t]*)', lines[r.line_id])
         fits = [re.fullmatch(re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), f'"{f.quoted}"|{f.plain}'), c) is not None for f, c in zip(rejects.PRODUCT_LINE, cells)]
         assert rejects.PRODUCT_LINE[fits.index(False)].name == r.bad_field
+
+
+def test_raw_files(spark, tmp_path):
+    from larder.sources import files
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "one.tsv").write_text("a\tb\n" + "".join(f"{i}\tx{i}\n" for i in range(5000)) + '"q ""u"""\t\nshort\nto\to\tlong\n"a"b\tx\n')
+    (tmp_path / "a" / "two.tsv").write_text("a\tb\nlast\tend\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        got = files.read_delimited(spark, str(tmp_path / "a"), ["b", "a"])
+        assert got.rdd.getNumPartitions() > 4
+        rows = {(r.a, r.b) for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert rows == {(str(i), f"x{i}") for i in range(5000)} | {('q "u"', None), ("last", "end")}
+    (tmp_path / "b.tsv").write_text('a\tb\n"two\nlines"\tx\nshort\n')
+    assert [tuple(r) for r in files.read_delimited(spark, str(tmp_path / "b.tsv"), ["a", "b"]).collect()] == [("two\nlines", "x")]
+    (tmp_path / "c.tsv").write_text("\n".join(["\t".join(["12345678", *[""] * 14]), "12\t" + "\t" * 13, "x"]) + "\n")
+    loaded, rejected = files.load_lines(spark, str(tmp_path / "c.tsv"))
+    assert [r.code for r in loaded.collect()] == ["12345678"] and sorted((r.reason, r.bad_field) for r in rejected.collect()) == [("columns", "code"), ("value", "code")]

@@ -97,11 +97,11 @@ def keyword_counts(df: DataFrame, c: str, keywords: tuple[str, ...]) -> DataFram
     return one.unpivot([], list(keywords), "keyword", "n")
 
 
-def keyword_rows(df: DataFrame, c: str, keywords: tuple[str, ...], n: int, order: list[Column], *columns: str) -> DataFrame:
-    """Up to n rows for each keyword."""
+def keyword_rows(df: DataFrame, c: str, keywords: tuple[str, ...], n: int | None, order: list[Column], *columns: str) -> DataFrame:
+    """Up to n rows for each keyword, None gives all."""
     low = F.lower(c)
     hit = df.select(*columns, c, F.explode(F.filter(F.array(*(F.when(low.contains(k.lower()), F.lit(k)) for k in keywords)), lambda x: x.isNotNull())).alias("keyword"))
-    return hit.withColumn("__r", F.row_number().over(Window.partitionBy("keyword").orderBy(*order))).where(F.col("__r") <= n).drop("__r")
+    return hit if n is None else hit.withColumn("__r", F.row_number().over(Window.partitionBy("keyword").orderBy(*order))).where(F.col("__r") <= n).drop("__r")
 
 
 def value_counts(df: DataFrame, c: str, n: int, separator: str = ",") -> DataFrame:

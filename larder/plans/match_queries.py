@@ -280,16 +280,8 @@ def M16_path_score(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", F.round(M.path_score(stop, C("l_tax"), C("l_discount"), C("l_quantity") / 50), 6).alias("s"))
 
 
-@query("SELECT query_id, " + ", ".join(f"coalesce(max(item_id) FILTER (rank = {i}), -1) AS top{i}_code, coalesce(round(max(s) FILTER (rank = {i}), 6), 0) AS top{i}_score" for i in (1, 2, 3)) + " FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, item_id) AS rank FROM (SELECT q.vec_id AS query_id, i.vec_id AS item_id, list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings i WHERE i.vec_id % 250 = 0)) GROUP BY 1")
-def M17_top3_padded(t: Tables) -> DataFrame:
-    items = t.embeddings.where("vec_id % 250 = 0").select(C("vec_id").alias("item_id"), C("embedding").alias("vec"))
-    top = V.top_k(t.embeddings.select(C("vec_id").alias("query_id"), C("embedding").alias("vec")), items, 3)
-    return top.groupBy("query_id").agg(*(x for i in (1, 2, 3) for x in (F.coalesce(F.max(F.when(C("rank") == i, C("item_id"))), F.lit(-1)).alias(f"top{i}_code"), F.coalesce(F.round(F.max(F.when(C("rank") == i, C("score"))), 6), F.lit(0.0)).alias(f"top{i}_score"))))
-
-
 @query("SELECT query_id, " + ", ".join(f"max(item_id) FILTER (rank = {i}) AS top{i}_code, round(max(s) FILTER (rank = {i}), 6) AS top{i}_score" for i in (1, 2, 3)) + " FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, item_id) AS rank FROM (SELECT q.vec_id AS query_id, i.vec_id AS item_id, list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings i)) GROUP BY 1")
 def M17_top3_all(t: Tables) -> DataFrame:
-    """M17 over all items; M17_top3_padded shows the padding over few."""
     top = V.top_k(t.embeddings.select(C("vec_id").alias("query_id"), C("embedding").alias("vec")), _items(t), 3)
     return top.groupBy("query_id").agg(*(x for i in (1, 2, 3) for x in (F.max(F.when(C("rank") == i, C("item_id"))).alias(f"top{i}_code"), F.round(F.max(F.when(C("rank") == i, C("score"))), 6).alias(f"top{i}_score"))))
 
@@ -312,12 +304,14 @@ def M20_greedy(t: Tables) -> DataFrame:
     return M.greedy(_beam_queries(t), _nodes(t), M.MatchParams((0.25, 0.3, 0.9))).withColumn("score", F.round("score", 6))
 
 
-@query("""WITH r AS (SELECT ingredient, min(row_id) AS r FROM products_ingredients WHERE code < '2000300000000' GROUP BY 1), low AS (SELECT lower(ingredient) AS k, arg_min(r, ingredient) AS r FROM (SELECT ingredient, r FROM r) GROUP BY 1),
+@query("""WITH r AS (SELECT ingredient, min(row_id) AS r FROM products_ingredients WHERE matchable AND tag_lang = 'en' AND NOT coalesce(is_additive, false) GROUP BY 1), low AS (SELECT lower(ingredient) AS k, arg_min(r, ingredient) AS r FROM r GROUP BY 1),
 q AS (SELECT DISTINCT ingredient FROM products_ingredients)
 SELECT q.ingredient, CASE WHEN a.r IS NOT NULL THEN 'exact' WHEN b.r IS NOT NULL THEN 'lower' END AS hit, CAST(coalesce(a.r, b.r, -1) AS BIGINT) AS r FROM q LEFT JOIN r a USING (ingredient) LEFT JOIN low b ON b.k = lower(q.ingredient)""")
 def M21_cache(t: Tables) -> DataFrame:
-    r = t.products_ingredients.where("code < '2000300000000'").groupBy("ingredient").agg(F.min("row_id").alias("r"))
-    return M.cached(t.products_ingredients.select("ingredient").distinct(), r).withColumn("r", F.coalesce("r", F.lit(-1)))
+    """All ingredients against results of those that are strictly matchable."""
+    rows = t.products_ingredients
+    r = rows.where("matchable and tag_lang = 'en' and not coalesce(is_additive, false)").groupBy("ingredient").agg(F.min("row_id").alias("r"))
+    return M.cached(rows.select("ingredient").distinct(), r).withColumn("r", F.coalesce("r", F.lit(-1)))
 
 
 @query()

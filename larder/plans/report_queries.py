@@ -113,28 +113,44 @@ def P9_allergens_by_code(t: Tables) -> DataFrame:
     return got.select("row_id", F.coalesce(F.array_join(F.transform("allergens", lambda x: F.concat_ws(":", x["allergen"], x["certainty"])), ","), F.lit("")).alias("allergens"))
 
 
-_PATTERNS = {"milk": "milk|whey|cream", "gluten": "wheat|rye|barley", "fish": "tuna|salmon"}
+#: Allergen, certainty and pattern of words that don't tell for sure.
+_PATTERNS = (
+    ("milk", "POSSIBLE", "milk|whey|cream"), ("gluten", "CERTAIN", "wheat|rye|barley"), ("gluten", "POSSIBLE", "starch|malt"), ("fish", "POSSIBLE", "tuna|salmon"), ("soy", "POSSIBLE", "lecithin|protein"), ("eggs", "POSSIBLE", "albumin"),
+)
 
 
-@query("SELECT row_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(ingredient, '{p}') THEN '{a}' END" for a, p in _PATTERNS.items()) + "], lambda x: x IS NOT NULL), ',') AS allergens FROM products_ingredients")
-def P10_pattern_allergens(t: Tables) -> DataFrame:
-    return t.products_ingredients.select("row_id", F.array_join(P.with_patterns(F.lit(None).cast("array<string>"), C("ingredient"), _PATTERNS), ",").alias("allergens"))
+def _hits(text: str, shown: str) -> str:
+    cases = ", ".join(f"CASE WHEN regexp_matches({text}, '{p}') THEN '{shown.format(a, c)}' END" for a, c, p in _PATTERNS)
+    return f"list_filter([{cases}], lambda x: x IS NOT NULL)"
+
+
+@query(f"""WITH m AS (SELECT p.row_id, any_value(p.ingredient) AS ingredient, CASE WHEN any_value(p.confidence) <> 'NO_MATCH'
+    THEN coalesce(list_sort(list_distinct(list(a.allergen || ':' || a.certainty) FILTER (a.allergen IS NOT NULL))), []) ELSE [] END AS mapped
+  FROM {_PM} p LEFT JOIN {_MAP} a ON a.foodex2_code = p.specific_code AND NOT starts_with(a.foodex2_code, '#') GROUP BY 1),
+h AS (SELECT *, coalesce({_hits("lower(ingredient)", "{}:{}")}, []) AS hits FROM m)
+SELECT row_id, array_to_string(list_concat(mapped, list_filter(hits, lambda x: NOT list_contains(mapped, x))), ',') AS allergens, len(hits) > 0 AS ambiguous FROM h""")
+def P10_enriched_allergens(t: Tables) -> DataFrame:
+    got = P.enriched(_joined(t), "specific_code", "confidence", "ingredient", _allergen_map(t), _PATTERNS)
+    return got.select("row_id", F.array_join(F.transform("allergens", lambda x: F.concat_ws(":", x["allergen"], x["certainty"])), ",").alias("allergens"), "ambiguous")
 
 
 _SAID = "list_sort(list_distinct(list_filter(list_transform(string_split(coalesce(allergens, '') || ',' || coalesce(traces, ''), ','), lambda x: map {" + ", ".join(f"'{k}': '{v}'" for k, v in P.ALLERGEN_TAGS.items()) + "}[lower(trim(x))]), lambda x: x IS NOT NULL)))"
-_SEEN = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(coalesce(ingredients_text, ''), '{p}') THEN '{a}' END" for a, p in _PATTERNS.items()) + "], lambda x: x IS NOT NULL)"
+_SEEN = _hits("coalesce(ingredients_text, '')", "{0}").replace("list_filter(", "list_distinct(list_filter(", 1) + ")"
+_IN_ORDER = "array_to_string(list_filter(['milk', 'gluten', 'fish', 'soy', 'eggs'], lambda s: list_contains({0}, s) AND NOT list_contains({1}, s)), ',')"
 
 
-@query(f"SELECT code, CAST(loaded_at AS VARCHAR) AS loaded, array_to_string({_SAID}, ',') AS declared, array_to_string(CASE WHEN len({_SAID}) > 0 THEN list_filter({_SEEN}, lambda s: NOT list_contains({_SAID}, s)) ELSE [] END, ',') AS undeclared FROM products")
+@query(f"SELECT code, CAST(loaded_at AS VARCHAR) AS loaded, array_to_string({_SAID}, ',') AS declared, CASE WHEN len({_SAID}) > 0 THEN {_IN_ORDER.format(_SEEN, _SAID)} ELSE '' END AS undeclared FROM products")
 def P11_P12_declared_and_undeclared(t: Tables) -> DataFrame:
     said = P.declared(C("allergens"), C("traces"))
-    seen = P.with_patterns(F.lit(None).cast("array<string>"), F.coalesce("ingredients_text", F.lit("")), _PATTERNS)
+    seen = P.named_in(F.coalesce("ingredients_text", F.lit("")), _PATTERNS)
     return t.products.select("code", C("loaded_at").cast("string").alias("loaded"), F.array_join(said, ",").alias("declared"), F.array_join(P.undeclared(seen, said), ",").alias("undeclared"))
 
 
-@query(f"SELECT code, string_agg(a, ',' ORDER BY o, i) AS allergens FROM (SELECT code, a, min(row_id) AS o, arg_min(i, row_id) AS i FROM (SELECT code, row_id, unnest(f) AS a, generate_subscripts(f, 1) AS i FROM (SELECT code, row_id, list_filter([{', '.join(f'''CASE WHEN regexp_matches(ingredient, '{p}') THEN '{a}' END''' for a, p in _PATTERNS.items())}], lambda x: x IS NOT NULL) AS f FROM products_ingredients)) GROUP BY 1, 2) GROUP BY 1")
+@query(f"""WITH f AS (SELECT code, row_id, {_hits("ingredient", "{0}")} AS f FROM products_ingredients), e AS (SELECT code, row_id, unnest(f) AS a, generate_subscripts(f, 1) AS i FROM f),
+g AS (SELECT code, a, min(row_id) AS o, min(row_id * 100 + i) AS i FROM e GROUP BY 1, 2)
+SELECT code, string_agg(a, ',' ORDER BY i) AS allergens FROM g GROUP BY 1""")
 def P13_unique_allergens(t: Tables) -> DataFrame:
-    df = t.products_ingredients.select("code", "row_id", P.with_patterns(F.lit(None).cast("array<string>"), C("ingredient"), _PATTERNS).alias("f"))
+    df = t.products_ingredients.select("code", "row_id", P.named_in(C("ingredient"), _PATTERNS).alias("f"))
     return P.ordered_union(df, "code", "row_id", "f", "allergens").select("code", F.array_join("allergens", ",").alias("allergens"))
 
 
@@ -317,17 +333,27 @@ def R31_duplicates(t: Tables) -> DataFrame:
     return R.duplicates(t.products_with_language1.select("row_id", "code"), "code").select("row_id", "code", "dup_count")
 
 
-_WORDS = ("milk", "oat", "apple", "salt", "oil", "nut")
+def _keywords(words: tuple[str, ...]) -> str:
+    return "(SELECT unnest([" + ", ".join(f"'{k}'" for k in words) + "]) AS keyword)"
 
 
-@query(" UNION ALL ".join(f"SELECT '{k}' AS keyword, count(*) FILTER (contains(lower(termExtendedName), '{k}')) AS n FROM foodex2_terms" for k in _WORDS))
+@query(f"SELECT keyword, count(*) FILTER (contains(lower(termExtendedName), keyword)) AS n FROM {_keywords(P.TERM_KEYWORDS)}, foodex2_terms GROUP BY 1")
 def R32_keyword_counts(t: Tables) -> DataFrame:
-    return R.keyword_counts(t.foodex2_terms, "termExtendedName", _WORDS)
+    return R.keyword_counts(t.foodex2_terms, "termExtendedName", P.TERM_KEYWORDS)
+
+
+_HITS = "SELECT keyword, termCode, termExtendedName, reportHierarchyLevel FROM foodex2_terms t JOIN {} k ON contains(lower(termExtendedName), keyword)"
+
+
+@query(_HITS.format(_keywords(P.TERM_KEYWORDS)) + " QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY termCode) <= 20")
+def R32_keyword_rows(t: Tables) -> DataFrame:
+    return R.keyword_rows(t.foodex2_terms, "termExtendedName", P.TERM_KEYWORDS, 20, [C("termCode")], "termCode", "reportHierarchyLevel")
 
 
-@query("SELECT keyword, termCode, termExtendedName, reportHierarchyLevel FROM foodex2_terms t JOIN (SELECT unnest([" + ", ".join(f"'{k}'" for k in _WORDS) + "]) AS keyword) k ON contains(lower(termExtendedName), keyword) QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY termCode) <= 20")
-def R32_R33_keyword_rows(t: Tables) -> DataFrame:
-    return R.keyword_rows(t.foodex2_terms, "termExtendedName", _WORDS, 20, [C("termCode")], "termCode", "reportHierarchyLevel")
+@query(_HITS.format(_keywords(P.ALLERGEN_KEYWORDS)))
+def R33_allergen_keywords(t: Tables) -> DataFrame:
+    """All 57 keywords, every row, with its level."""
+    return R.keyword_rows(t.foodex2_terms, "termExtendedName", P.ALLERGEN_KEYWORDS, None, [C("termCode")], "termCode", "reportHierarchyLevel")
 
 
 @query("SELECT value, count(*) AS n FROM (SELECT lower(trim(unnest(string_split(labels_tags, ',')))) AS value FROM products_with_language1) WHERE value <> '' GROUP BY 1 ORDER BY n DESC, value LIMIT 20")

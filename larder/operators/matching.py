@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +15,7 @@ from larder.functions import fuzzy
 from larder.functions import text as T
 from larder.operators import hierarchy as H
 from larder.operators import vectors as V
+from larder.session import materialise
 
 #: Rows that a list of variants may have: it goes to every executor.
 MOST_VARIANTS = 2_000_000
@@ -49,54 +50,70 @@ def exact(queries: DataFrame, var: DataFrame, query: str = "ingredient") -> Data
     return q.join(var, "variant").groupBy(query, "variant").agg(F.min(F.struct("term", "name")).alias("t")).select(query, "variant", "t.term", "t.name")
 
 
-def fuzzy_candidates(queries: DataFrame, var: DataFrame, params: MatchParams = MatchParams(), query: str = "ingredient", scorer=fuzzy.weighted, bound=fuzzy.weighted_bound) -> DataFrame:
+def _held_variants(var: DataFrame) -> list[tuple[str, str, str]]:
+    """(term, name, variant) in the order in which ties are broken, at most MOST_VARIANTS."""
+    n = var.count()
+    if n > MOST_VARIANTS:
+        raise ValueError(f"{n} variants; {MOST_VARIANTS} can be held")
+    return list(var.select("term", "name", "variant").orderBy("variant", "term").toPandas().itertuples(index=False, name=None))
+
+
+_made: dict[str, object] = {}
+
+
+def _once(token: str, make):
+    """One index for all tasks of a worker that run one plan."""
+    if token not in _made:
+        _made.clear()
+        _made[token] = make()
+    return _made[token]
+
+
+def _best(score, rows: list[tuple[str, str, str]], k: str, params: MatchParams) -> list[tuple[int, float]]:
+    """M9, M10 for one key: place and score of the best variant of each term."""
+    at, s = score(k, params.cutoff)
+    seen: dict[str, tuple[int, float]] = {}
+    for i in np.lexsort((at, -s))[: params.top_variants].tolist():
+        seen.setdefault(rows[at[i]][0], (int(at[i]), float(s[i])))
+    return list(seen.values())[: params.top_terms]
+
+
+def _scorer(rows: list[tuple[str, str, str]], scorer):
+    """scorer(key, variant) as a function of a key and a cutoff over all variants; the standard one runs over all at once."""
+    strings = [v for _, _, v in rows]
+    if scorer is fuzzy.weighted:
+        return fuzzy.Weighted(strings)
+
+    def each(k: str, cutoff: float) -> tuple[np.ndarray, np.ndarray]:
+        s = np.array([scorer(k, v) for v in strings], float)
+        at = np.flatnonzero(s >= cutoff)
+        return at, s[at]
+
+    return each
+
+
+def fuzzy_candidates(queries: DataFrame, var: DataFrame, params: MatchParams = MatchParams(), query: str = "ingredient", scorer=fuzzy.weighted) -> DataFrame:
     """Query, term, name, variant, score (0 to 100): of the best `top_variants` variants at or above the
     cutoff the best one of each term, at most `top_terms` terms; ties by variant, then term.
 
-    Left out before scoring are only variants without a word of the query whose letters, in any order, can't reach the
-    cutoff by `bound`; without a bound every variant is scored. Give distinct queries: a query is scored as often as
-    it comes. Null queries give nothing.
+    Every variant is scored; those whose bound is below the cutoff are left out without loss. Give distinct queries: a
+    query is scored as often as it comes. Null queries give nothing. More than MOST_VARIANTS variants are refused.
     """
-    held = var.select("term", "name", "variant").orderBy("variant", "term").limit(MOST_VARIANTS + 1).toPandas()
-    if len(held) > MOST_VARIANTS:
-        raise ValueError(f"more than {MOST_VARIANTS} variants")
-    shared = queries.sparkSession.sparkContext.broadcast(list(held.itertuples(index=False, name=None)))
+    shared, token = queries.sparkSession.sparkContext.broadcast(_held_variants(var)), uuid.uuid4().hex
     few = queries.select(F.col(query).alias("q"), T.lookup_key(F.col(query)).alias("k")).where("q is not null")
-    # Few bytes but much work a row: spread before scoring, as the planner would put them into one task.
-    few = few.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "q")
+    # Few bytes but much work a row: spread before scoring, as the planner would put them into one task; equal keys are scored once.
+    few = few.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k").sortWithinPartitions("k")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = shared.value
-        index: dict[str, list[int]] = defaultdict(list)
-        for i, (_, _, v) in enumerate(rows):
-            for w in set(v.split()):
-                index[w].append(i)
-        letters = sorted({c for _, _, v in rows for c in v})
-        place = {c: i for i, c in enumerate(letters)}
-        count = np.zeros((len(rows), len(letters) + 1), np.int16)
-        for i, (_, _, v) in enumerate(rows):
-            for c in v:
-                count[i, place[c]] += 1
-        size = np.array([max(1, len(v)) for _, _, v in rows])
-        loose = np.array([len(set(v.split())) < len(v.split()) for _, _, v in rows])  # repeated words escape the bound
+        score = _once(token, lambda: _scorer(rows, scorer))
+        last, best = None, []
         for b in batches:
             out = []
             for q, k in zip(b["q"], b["k"]):
-                near = np.arange(len(rows))
-                if bound is not None and len(rows) and len(set(k.split())) == len(k.split()):
-                    own = np.zeros(len(letters) + 1, np.int16)
-                    for c in k:
-                        own[place.get(c, -1)] += 1
-                    own[-1] = 0
-                    keep = (bound(np.minimum(count, own).sum(axis=1), len(k), size) >= params.cutoff) | loose
-                    for w in k.split():
-                        keep[index.get(w, [])] = True
-                    near = near[keep]
-                scored = sorted(((-s, rows[i][2], rows[i][0], rows[i][1]) for i in near.tolist() if (s := scorer(k, rows[i][2])) >= params.cutoff))[: params.top_variants]
-                seen: dict[str, tuple] = {}
-                for s, v, t, n in scored:
-                    seen.setdefault(t, (q, t, n, v, -s))
-                out += list(seen.values())[: params.top_terms]
+                if k != last:
+                    last, best = k, _best(score, rows, k, params)
+                out += [(q, *rows[i], s) for i, s in best]
             yield pd.DataFrame(out, columns=["q", "term", "name", "variant", "score"])
 
     return few.mapInPandas(run, "q string, term string, name string, variant string, score double").withColumnRenamed("q", query)
@@ -130,8 +147,8 @@ def path_score(stop: Column, l2: Column, l3: Column, specific: Column) -> Column
 
 
 _RESULT = (
-    "level2_code", "level2_score", "level3_code", "level3_score", "specific_code", "specific_score", "final_level", "confidence", "path_score",
-    "top1_code", "top1_score", "top2_code", "top2_score", "top3_code", "top3_score",
+    "level2_code", "level2_name", "level2_score", "level3_code", "level3_name", "level3_score", "specific_code", "specific_name", "specific_score", "final_level", "confidence", "path_score",
+    *(f"top{i}_{x}" for i in (1, 2, 3) for x in ("code", "name", "score")),
 )
 
 
@@ -160,18 +177,16 @@ def beam(queries: DataFrame, nodes: DataFrame, params: MatchParams = MatchParams
     first = lambda c: F.get(F.col(c), F.lit(0))
     p = p.select(
         query, "stop",
-        F.when(F.col("stop") == 1, first("c2")["node"]).otherwise(F.col("n2")["node"]).alias("level2_code"),
+        *(F.when(F.col("stop") == k - 1, first(c)[f]).otherwise(F.col(n)[f]).alias(f"{to}_{x}") for k, c, n, to in ((2, "c2", "n2", "level2"), (3, "own3", "n3", "level3"), (4, "own4", "n4", "specific")) for f, x in (("node", "code"), ("name", "name"))),
         F.coalesce(F.when(F.col("stop") == 1, first("c2")["score"]).otherwise(F.col("n2")["score"]), F.lit(0.0)).alias("level2_score"),
-        F.when(F.col("stop") == 2, first("own3")["node"]).otherwise(F.col("n3")["node"]).alias("level3_code"),
         F.coalesce(F.when(F.col("stop") == 2, first("own3")["score"]).otherwise(F.col("n3")["score"]), F.lit(0.0)).alias("level3_score"),
-        F.when(F.col("stop") == 3, first("own4")["node"]).otherwise(F.col("n4")["node"]).alias("specific_code"),
         F.coalesce(F.when(F.col("stop") == 3, first("own4")["score"]).otherwise(F.col("combined")), F.lit(0.0)).alias("specific_score"),
         F.when(F.col("stop") == 0, 0).when(F.col("stop") <= 2, 2).otherwise(F.col("stop")).alias("final_level"),
         F.element_at(F.array(*map(F.lit, ("NO_MATCH", "NO_MATCH", "LOW", "MEDIUM", "HIGH"))), F.col("stop") + 1).alias("confidence"),
         path_score(F.col("stop"), F.col("n2")["score"], F.col("n3")["score"], F.col("combined")).alias("path_score"), tops.alias("tops"),
     )
     for i in (1, 2, 3):
-        p = p.withColumn(f"top{i}_code", F.get("tops", F.lit(i - 1))["node"]).withColumn(f"top{i}_score", F.coalesce(F.get("tops", F.lit(i - 1))["score"], F.lit(0.0)))
+        p = p.withColumn(f"top{i}_code", F.get("tops", F.lit(i - 1))["node"]).withColumn(f"top{i}_name", F.get("tops", F.lit(i - 1))["name"]).withColumn(f"top{i}_score", F.coalesce(F.get("tops", F.lit(i - 1))["score"], F.lit(0.0)))
     order = F.struct(-F.col("path_score"), -F.col("level2_score"), -F.col("level3_score"), "level2_code", "level3_code", "specific_code")
     return p.groupBy(query).agg(F.min_by(F.struct(*_RESULT), order).alias("r")).select(query, "r.*")
 
@@ -197,40 +212,95 @@ def greedy(queries: DataFrame, nodes: DataFrame, params: MatchParams = MatchPara
     )
 
 
-def term_nodes(ix: DataFrame, encode) -> DataFrame:
-    """Nodes of an index for beam() and greedy(), with the vectors of their names."""
+def term_vectors(ix: DataFrame, encode) -> DataFrame:
+    """M5 for an index: term, vec: the normalised mean of the vectors of a term's different variants."""
+    return V.mean_vector(variants(ix).select("term", encode(F.col("variant")).alias("v")), ("term",), "v", "vec")
+
+
+def term_nodes(ix: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Nodes of an index for beam() and greedy(), with the vectors (term, vec) of its terms."""
     up = H.parents(ix).select(F.col("child").alias("term"), "parent")
-    return ix.where("level >= 2").join(up, "term", "left").select(F.col("term").alias("node"), "name", F.col("level").cast("int").alias("level"), F.coalesce("parent", F.lit("")).alias("parent"), encode(T.term_key(F.col("name"))).alias("vec"))
+    nodes = ix.where("level >= 2").join(up, "term", "left").join(vectors, "term")
+    return nodes.select(F.col("term").alias("node"), "name", F.col("level").cast("int").alias("level"), F.coalesce("parent", F.lit("")).alias("parent"), "vec")
+
+
+#: Columns of a whole match record behind its query; term, mode, score and confidence sum it up.
+RECORD = ("term", "mode", "score", *_RESULT, "rf_used", "rf_score", "rf_variant", "emb_score", "lexical_score", "branch_prior", "exact_variant")
 
 
 def match_names(queries: DataFrame, terms: DataFrame, params: MatchParams = MatchParams(), encode=None, query: str = "ingredient") -> DataFrame:
-    """M9 to M19 in one plan: distinct queries to term, mode (rf_exact, rf_reranked or beam), score, confidence, rf_score, lexical_score.
+    """M9 to M19 in one plan: distinct queries with RECORD, the record of each match.
 
-    Exact variants first, then fuzzy candidates re-ranked by M12, and the beam for what has no candidate. Give distinct queries.
+    A query that is a variant is settled by it (mode rf_exact); else its fuzzy candidates are re-ranked by M12
+    (rf_reranked), and a query without candidates goes to the beam. In the first two modes the scores of levels 2 and 3
+    are the vector score, the specific score is the final one, and top2 and top3 are empty. Give distinct queries; null
+    gives nothing.
     """
     encode = encode or V.encoder()
     ix = H.index(terms)
-    var = variants(ix)
-    vec = ix.where("level >= 2").select("term", encode(T.term_key(F.col("name"))).alias("tv"))
-    top = H.resolve(ix).select("term", "level2_code")
-    q = queries.select(query).where(F.col(query).isNotNull())
-    hit = exact(q, var, query).withColumn("score_rf", F.lit(100.0)).withColumn("mode", F.lit("rf_exact"))
-    rest = q.join(hit.select(query), query, "left_anti")
-    near = fuzzy_candidates(rest, var, params, query).select(query, "variant", "term", "name", F.col("score").alias("score_rf"), F.lit("rf_reranked").alias("mode"))
-    both = hit.select(query, "variant", "term", "name", "score_rf", "mode").unionByName(near).withColumn("qv", encode(T.lookup_key(F.col(query))))
-    both = both.join(vec, "term").join(top, "term", "left").join(vec.select(F.col("term").alias("level2_code"), F.col("tv").alias("pv")), "level2_code", "left")
-    both = both.withColumn("emb", V.dot(F.col("qv"), F.col("tv"))).withColumn("prior", F.coalesce(V.dot(F.col("qv"), F.col("pv")), F.lit(0.0)))
-    both = both.withColumn("lexical_score", T.token_jaccard(F.col(query), F.col("name")))
-    is_exact = F.col("mode") == "rf_exact"
-    both = both.withColumn("score", F.when(is_exact, 0.50 * F.col("emb") + 0.28 + 0.10 * F.col("lexical_score")).otherwise(rerank_score(F.col("emb"), F.col("score_rf"), F.col("lexical_score"), F.col("prior"))))
-    both = both.withColumn("confidence", F.when(is_exact, "HIGH").otherwise(fuzzy_confidence(F.col("score"), F.col("lexical_score"), params)))
-    best = both.groupBy(query).agg(F.min_by(F.struct("term", "mode", "score", "confidence", F.col("score_rf").alias("rf_score"), "lexical_score"), F.struct(-F.col("score"), "term")).alias("r")).select(query, "r.*")
-    left = q.join(best.select(query), query, "left_anti").select(F.col(query).alias("query_id"), T.lookup_key(F.col(query)).alias("name")).withColumn("vec", encode(F.col("name")))
-    fell = beam(left, term_nodes(ix, encode), params).select(
-        F.col("query_id").alias(query), F.coalesce("specific_code", "level3_code", "level2_code").alias("term"), F.lit("beam").alias("mode"), F.col("path_score").alias("score"), "confidence",
-        F.lit(0.0).alias("rf_score"), F.lit(0.0).alias("lexical_score"),
+    # The terms are few (MOST_VARIANTS); their vectors are read by three plans, so they are made once.
+    vectors = materialise(term_vectors(ix, encode))
+    path = H.resolve(ix).select("term", "level2_code", "level2_name", "level3_code", "level3_name", "specific_code", "specific_name", F.col("final_level").cast("int").alias("final_level"))
+    q = queries.select(query, T.lookup_key(F.col(query)).alias("__key")).where(F.col(query).isNotNull()).withColumn("__vec", encode(F.col("__key"))).withColumn("__words", T.token_set(F.col(query)))
+    tops = path.select("term", "level2_code").join(ix.select("term", T.token_set(F.col("name")).alias("words")), "term")
+    both = _with_vectors(q, variants(ix), vectors, tops, params, query).withColumn("exact_variant", F.col("rf_score") == 100.0)
+    settled = 0.50 * F.col("emb_score") + 0.28 + 0.10 * F.col("lexical_score")
+    both = both.withColumn("score", F.when(F.col("exact_variant"), settled).otherwise(rerank_score(F.col("emb_score"), F.col("rf_score"), F.col("lexical_score"), F.col("branch_prior"))))
+    kept = ("term", "name", "variant", "score", "rf_score", "emb_score", "lexical_score", "branch_prior", "exact_variant")
+    # Read for the results and for what is left to the beam, so that candidates are scored once: one row a query.
+    best = materialise(both.groupBy(query).agg(F.min_by(F.struct(*kept), F.struct(-F.col("score"), "term")).alias("r")).select(query, "r.*").join(path, "term", "left"))
+    has = lambda c, x: F.when(F.col(c).isNotNull(), F.col(x)).otherwise(0.0)
+    none, zero = F.lit(None).cast("string"), F.lit(0.0)
+    exact_ = F.col("exact_variant")
+    first = best.select(
+        query, "term", F.when(exact_, "rf_exact").otherwise("rf_reranked").alias("mode"), "score", "level2_code", "level2_name", has("level2_code", "emb_score").alias("level2_score"),
+        "level3_code", "level3_name", has("level3_code", "emb_score").alias("level3_score"), "specific_code", "specific_name", has("specific_code", "score").alias("specific_score"), "final_level",
+        F.when(exact_, "HIGH").otherwise(fuzzy_confidence(F.col("score"), F.col("lexical_score"), params)).alias("confidence"), F.col("score").alias("path_score"),
+        F.col("term").alias("top1_code"), F.col("name").alias("top1_name"), F.col("score").alias("top1_score"),
+        *(x for i in (2, 3) for x in (none.alias(f"top{i}_code"), none.alias(f"top{i}_name"), zero.alias(f"top{i}_score"))),
+        F.lit(True).alias("rf_used"), "rf_score", F.col("variant").alias("rf_variant"), "emb_score", "lexical_score", F.when(exact_, 0.0).otherwise(F.col("branch_prior")).alias("branch_prior"), "exact_variant",
+    )
+    left = q.join(best.select(query), query, "left_anti").select(F.col(query).alias("query_id"), F.col("__key").alias("name"), F.col("__vec").alias("vec"))
+    fell = beam(left, materialise(term_nodes(ix, vectors)), params).select(
+        F.col("query_id").alias(query), F.coalesce("specific_code", "level3_code", "level2_code").alias("term"), F.lit("beam").alias("mode"), F.col("path_score").alias("score"), *_RESULT,
+        F.lit(False).alias("rf_used"), zero.alias("rf_score"), none.alias("rf_variant"), zero.alias("emb_score"), zero.alias("lexical_score"), zero.alias("branch_prior"), F.lit(False).alias("exact_variant"),
     )
-    return best.unionByName(fell)
+    return first.select(query, *RECORD).unionByName(fell.select(query, *RECORD))
+
+
+def _with_vectors(q: DataFrame, var: DataFrame, vectors: DataFrame, tops: DataFrame, params: MatchParams, query: str) -> DataFrame:
+    """Fuzzy candidates of queries (query, __key, __vec, __words) with emb_score and branch_prior, the inner products with
+    the vectors of the term and of its level 2 term, and lexical_score (M8 with the name). tops: term, level2_code, words.
+    Of a query that is a variant the first such term alone."""
+    rows = _held_variants(var)
+    known = vectors.join(tops, "term", "left").orderBy("term").select("term", "level2_code", "vec", "words").toPandas()
+    place = {t: i for i, t in enumerate(known["term"])}
+    matrix = np.array(known["vec"].tolist(), np.float32).reshape(len(known), -1)
+    top = np.array([place.get(c, -1) for c in known["level2_code"]], int)
+    said = [frozenset(() if w is None else w) for w in known["words"]]
+    shared, token = q.sparkSession.sparkContext.broadcast((rows, place, matrix, top, said)), uuid.uuid4().hex
+    kind = q.schema[query].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, place, matrix, top, said = shared.value
+        score, first = _once(token, lambda: (_scorer(rows, fuzzy.weighted), {v: i for i, (_, _, v) in reversed(list(enumerate(rows)))}))
+        last, found = None, []
+        for b in batches:
+            out = []
+            for name, k, vec, own in zip(b["q"], b["__key"], b["__vec"], map(set, b["__words"])):
+                if k != last:
+                    last, found = k, [(first[k], 100.0)] if k in first else _best(score, rows, k, params)
+                if found:
+                    near = matrix @ np.asarray(vec, np.float32)
+                    for i, s in found:
+                        t = place[rows[i][0]]
+                        both = len(own & said[t])
+                        lexical = both / (len(own) + len(said[t]) - both) if both else 0.0
+                        out.append((name, *rows[i], s, float(near[t]), float(near[top[t]]) if top[t] >= 0 else 0.0, lexical))
+            yield pd.DataFrame(out, columns=["q", "term", "name", "variant", "rf_score", "emb_score", "branch_prior", "lexical_score"])
+
+    few = q.select(F.col(query).alias("q"), "__key", "__vec", "__words").repartition(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__key").sortWithinPartitions("__key")
+    return few.mapInPandas(run, f"q {kind}, term string, name string, variant string, rf_score double, emb_score double, branch_prior double, lexical_score double").withColumnRenamed("q", query)
 
 
 def cached(queries: DataFrame, results: DataFrame, query: str = "ingredient", order: str | None = None) -> DataFrame:
@@ -247,7 +317,8 @@ def match_cached(queries: DataFrame, results: DataFrame, terms: DataFrame, param
     encode = encode or V.encoder()
     seen = cached(queries.select(query), results.select(query, "term", "score", "confidence"), query)
     missed = seen.where("hit is null").select(query, encode(T.lookup_key(F.col(query))).alias("vec"))
-    live = greedy(missed, term_nodes(H.index(terms), encode), params, query)
+    ix = H.index(terms)
+    live = greedy(missed, materialise(term_nodes(ix, term_vectors(ix, encode))), params, query)
     return seen.where("hit is not null").unionByName(live.select(query, F.lit("live").alias("hit"), F.col("code").alias("term"), "score", "confidence"))
 
 

@@ -288,8 +288,9 @@ def M17_top3_all(t: Tables) -> DataFrame:
 
 @query()
 def M19_match_names(t: Tables) -> DataFrame:
+    """The whole record of each match."""
     got = M.match_names(M.matchable(t.products_ingredients), t.foodex2_terms, M.RUNS["small"])
-    return got.select("ingredient", "term", "mode", "confidence", *(F.round(c, 4).alias(c) for c in ("score", "rf_score", "lexical_score")))
+    return got.select("ingredient", *(F.round(c, 4).alias(c) if c.endswith("score") or c == "branch_prior" else C(c) for c in M.RECORD))
 
 
 @query(f"""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings), l2 AS (SELECT 'L' || label AS node, v FROM {_centroid("label")}), l3 AS (SELECT 'L' || label || '.' || third AS node, 'L' || label AS parent, v FROM {_centroid("label, third")}),

@@ -1,4 +1,3 @@
-import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -25,13 +24,47 @@ def test_scores(a, b):
     assert sub in a and sub in b and not any(a[i : i + len(sub) + 1] in b for i in range(len(a) - len(sub)))
 
 
+@settings(max_examples=200, deadline=None)
+@given(WORD, WORD)
+def test_partial_is_the_best_stretch(a, b):
+    short, long = sorted((a, b), key=len)
+    n = len(short)
+    stretches = [long[i : i + n] for i in range(len(long) - n + 1)] + [x for k in range(1, n) for x in (long[:k], long[-k:])]
+    want = max((fuzzy.ratio(short, x) for x in stretches), default=0.0)
+    assert abs(fuzzy.partial(a, b) - (want if short else 0.0)) < 1e-9
+
+
+def composite(a, b):
+    """weighted() from its definition, without bounds."""
+    if not a or not b:
+        return 0.0
+    longer, best = max(len(a), len(b)) / min(len(a), len(b)), fuzzy.ratio(a, b)
+    if longer < 1.5:
+        return max(best, 0.95 * fuzzy.token_sort(a, b), 0.95 * fuzzy.token_set(a, b))
+    scale, x, y = 0.9 if longer < 8 else 0.6, set(a.split()), set(b.split())
+    flat = lambda w: " ".join(sorted(w))
+    token = 100.0 if x & y else max(fuzzy.partial(flat(x), flat(y)), fuzzy.partial(flat(a.split()), flat(b.split())))
+    return max(best, scale * fuzzy.partial(a, b), 0.95 * scale * token)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet="abc ", max_size=24), WORD, st.sampled_from([0.0, 50.0, 80.0]))
+def test_bounds_lose_nothing(a, b, least):
+    want = composite(a, b)
+    assert abs(fuzzy.weighted(a, b) - want) < 1e-9
+    assert abs(fuzzy.weighted(a, b, least) - want) < 1e-9 if want >= least else fuzzy.weighted(a, b, least) <= want + 1e-9
+
+
+LIST = ["apple juice", "juice apple", "apple", "pear juice concentrate", "salt salt", "", " ", "a", "b" * 70, "juice " * 14, "sea  salt", "carrot", "apple juice from concentrate of apples", "ab ba", "cab"]
+
+
 @settings(max_examples=300, deadline=None)
-@given(WORD.map(lambda s: " ".join(dict.fromkeys(s.split()))), WORD.map(lambda s: " ".join(dict.fromkeys(s.split()))))
-def test_bound(a, b):
-    if set(a.split()) & set(b.split()):
-        return
-    shared = sum(min(a.count(c), b.count(c)) for c in set(a))
-    assert fuzzy.weighted(a, b) <= fuzzy.weighted_bound(np.array([shared]), len(a), np.array([len(b)]))[0] + 1e-6
+@given(st.lists(WORD, max_size=8), WORD | st.sampled_from([*LIST, "aple juice", "juice", "slat", "concentrate"]), st.sampled_from([0.0, 40.0, 65.0, 90.0]))
+def test_the_whole_list_at_once(strings, text, cutoff):
+    strings = [*strings, *LIST]
+    at, score = fuzzy.Weighted(strings)(text, cutoff)
+    want = {i: s for i, x in enumerate(strings) if (s := fuzzy.weighted(text, x)) >= cutoff}
+    assert at.tolist() == sorted(want) and all(abs(want[i] - s) < 1e-9 for i, s in zip(at.tolist(), score.tolist()))
 
 
 def test_phonetic():

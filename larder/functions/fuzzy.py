@@ -216,20 +216,17 @@ def _subsequence(masks, full: np.ndarray) -> np.ndarray:
 
 
 def common_substring(a: str, b: str) -> str:
-    """The longest common substring, the first in a of several."""
-    if not a or not b:
-        return ""
-    best = end = 0
-    row = [0] * (len(b) + 1)
-    for i, c in enumerate(a, 1):
-        new = [0] * (len(b) + 1)
-        for j, d in enumerate(b, 1):
-            if c == d:
-                new[j] = row[j - 1] + 1
-                if new[j] > best:
-                    best, end = new[j], i
-        row = new
-    return a[end - best : end]
+    """The longest common substring, the first in a of several. Its length is found by halving, as all shorter ones are common too."""
+    low, high, best = 0, min(len(a), len(b)), ""
+    while low < high:
+        n = (low + high + 1) // 2
+        there = {b[j : j + n] for j in range(len(b) - n + 1)}
+        got = next((a[i : i + n] for i in range(len(a) - n + 1) if a[i : i + n] in there), None)
+        if got is None:
+            high = n - 1
+        else:
+            low, best = n, got
+    return best
 
 
 def jaro_winkler(a: str, b: str, boost: float = 0.1) -> float:

@@ -55,9 +55,12 @@ def shared_suffix(a: Column, b: Column) -> Column:
 
 def char_grams(c: Column, n: int) -> Column:
     """Set of n-grams of letters in lower case; empty for shorter texts."""
-    k = F.length(c) - n + 1
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), lambda i: F.substring(F.lower(c), i, F.lit(n)))
-    return F.when(k >= 1, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    letters = F.split(F.lower(c), "")
+    # The array beside itself, moved on by one letter each time: no lambda looks back at the text.
+    grams = letters
+    for k in range(1, n):
+        grams = F.zip_with(grams, F.slice(letters, F.lit(k + 1), F.size(letters)), lambda x, y: F.concat(x, y))
+    return F.when(c.isNotNull(), F.array_distinct(F.filter(grams, lambda x: x.isNotNull() & (x != ""))))
 
 
 def gram_jaccard(a: Column, b: Column, n: int) -> Column:

@@ -50,11 +50,9 @@ def _inside(buf: np.ndarray, cell: np.ndarray, first: np.ndarray, last: np.ndarr
     step = np.where(shut | quote, 0, ((buf == 40) | (buf == 91)).astype(np.int64) - ((buf == 41) | (buf == 93)))
     run = np.concatenate(([0], np.cumsum(step)))
     depth = run[1:] - run[first[cell]]
-    for i in np.unique(cell[depth < 0]):
-        d, own = 0, step[first[i] : last[i]]
-        for j in np.flatnonzero(own):
-            d = max(0, d + own[j])
-            depth[first[i] + j :  last[i]] = d
+    for i in np.unique(cell[depth < 0]):  # brackets that nothing opens: the depth never falls below 0
+        own = np.cumsum(step[first[i] : last[i]])
+        depth[first[i] : last[i]] = own - np.minimum.accumulate(np.minimum(own, 0))
     return shut | quote | (depth > 0)
 
 

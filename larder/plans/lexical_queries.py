@@ -14,13 +14,20 @@ from larder.plans import duck as D
 from larder.plans.registry import Tables, query
 
 C = F.col
-#: Pairs of an ingredient and its product, with a score between them. Letters beyond ASCII become `?`, as the other
-#: engine counts edits in bytes.
-_P = "(SELECT row_id, regexp_replace(ingredient, '[^\\x00-\\x7F]', '?', 'g') AS a, regexp_replace(coalesce(product_name, ''), '[^\\x00-\\x7F]', '?', 'g') AS b, CAST((row_id * 37) % 997 AS DOUBLE) / 997 AS s, code FROM products_ingredients)"
+#: Pairs of an ingredient and its product, with a score between them.
+_P = "(SELECT row_id, ingredient AS a, coalesce(product_name, '') AS b, CAST((row_id * 37) % 997 AS DOUBLE) / 997 AS s, code FROM products_ingredients)"
+# The other engine counts edits in bytes. Of texts beyond ASCII it counts them row by row of the edit table over code
+# points: t holds the cheapest ways from the row before, and a running minimum over it adds the insertions.
+_CODES = "list_transform(range(1, length({0}) + 1), lambda i: unicode(substr({0}, i, 1))::BIGINT)"
+_STEP = """list_transform([list_transform(range(1, len(r) + 1), lambda k: CASE WHEN k = 1 THEN r[1] + 1 ELSE least(r[k] + 1, r[k - 1] + CASE WHEN bc[k - 1] = x[1] THEN 0 ELSE 1 END) END)],
+  lambda t: list_transform(range(1, len(t) + 1), lambda k: k + list_min(list_transform(t[1:k], lambda v, j: v - j))))[1]"""
+_EDITS = f"list_reduce(list_concat([range(0, length(b) + 1)], list_transform({_CODES.format('a')}, lambda c: [c])), lambda r, x: {_STEP})[-1]"
+_LEV = f"(CASE WHEN strlen(a) = length(a) AND strlen(b) = length(b) THEN levenshtein(a, b) ELSE {_EDITS} END)"
+_P = f"(SELECT *, {_CODES.format('b')} AS bc FROM {_P})"
 
 
 def _pairs(t: Tables) -> DataFrame:
-    return t.products_ingredients.select("row_id", F.regexp_replace("ingredient", r"[^\x00-\x7F]", "?").alias("a"), F.regexp_replace(F.coalesce("product_name", F.lit("")), r"[^\x00-\x7F]", "?").alias("b"), (((C("row_id") * 37) % 997).cast("double") / 997).alias("s"), "code").withColumn("ingredient", C("a"))
+    return t.products_ingredients.select("row_id", C("ingredient").alias("a"), F.coalesce("product_name", F.lit("")).alias("b"), (((C("row_id") * 37) % 997).cast("double") / 997).alias("s"), "code").withColumn("ingredient", C("a"))
 
 
 def _set(x: str) -> str:
@@ -32,10 +39,10 @@ def _jac(x: str, y: str) -> str:
 
 
 _BLANK = "(trim(a) = '' OR trim(b) = '')"
-_SIM = f"CASE WHEN {_BLANK} THEN 0.0 ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b), 1) END"
+_SIM = f"CASE WHEN {_BLANK} THEN 0.0 ELSE 1 - {_LEV} / greatest(length(a), length(b), 1) END"
 
 
-@query(f"SELECT row_id, levenshtein(a, b)::INTEGER AS d, round({_SIM}, 6) AS sim FROM {_P}")
+@query(f"SELECT row_id, {_LEV}::INTEGER AS d, round({_SIM}, 6) AS sim FROM {_P}")
 def L1_L2_levenshtein(t: Tables) -> DataFrame:
     return _pairs(t).select("row_id", F.levenshtein("a", "b").alias("d"), F.round(L.similarity(C("a"), C("b")), 6).alias("sim"))
 
@@ -59,11 +66,11 @@ def L5_L6_common_substring(t: Tables) -> DataFrame:
     return _pairs(t).select("row_id", F.round(L.common_substring_ratio(C("a"), C("b")), 6).alias("ratio"))
 
 
-def _prefix(a: str, b: str) -> str:
-    return f"len(list_filter(range(1, least(length({a}), length({b})) + 1), lambda i: substr(lower({a}), 1, i) = substr(lower({b}), 1, i)))::INTEGER"
+def _ends(start: str, end: str) -> str:
+    return f"len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: substr(lower(a), {start.format('a')}, {end}) = substr(lower(b), {start.format('b')}, {end})))::INTEGER"
 
 
-@query(f"SELECT row_id, {_prefix('a', 'b')} AS prefix, {_prefix('reverse(a)', 'reverse(b)')} AS suffix FROM {_P}")
+@query(f"SELECT row_id, {_ends('1', 'i')} AS prefix, {_ends('length({0}) - i + 1', 'i')} AS suffix FROM {_P}")
 def L7_L8_prefix_and_suffix(t: Tables) -> DataFrame:
     return _pairs(t).select("row_id", L.shared_prefix(C("a"), C("b")).alias("prefix"), L.shared_suffix(C("a"), C("b")).alias("suffix"))
 
@@ -119,7 +126,7 @@ def L13_mean_difference(t: Tables) -> DataFrame:
 _EDGES = [-0.01, 0.0, 0.2, 0.4, 0.6, 1.0]
 
 
-@query("SELECT bin, count(*) AS n, round(avg(s), 6) AS mean, round(stddev_samp(s), 6) AS std, round(100.0 * count(*) FILTER (s >= 0.7) / count(*), 2)::DOUBLE AS pct_high FROM (SELECT s, CASE " + " ".join(f"WHEN sim > {a} AND sim <= {b} THEN '({a:g}, {b:g}]'" for a, b in zip(_EDGES, _EDGES[1:])) + f" END AS bin FROM {_M}) WHERE bin IS NOT NULL GROUP BY 1")
+@query(f"WITH m AS MATERIALIZED {_M} " + "SELECT bin, count(*) AS n, round(avg(s), 6) AS mean, round(stddev_samp(s), 6) AS std, round(100.0 * count(*) FILTER (s >= 0.7) / count(*), 2)::DOUBLE AS pct_high FROM (SELECT s, CASE " + " ".join(f"WHEN sim > {a} AND sim <= {b} THEN '({a:g}, {b:g}]'" for a, b in zip(_EDGES, _EDGES[1:])) + f" END AS bin FROM m) WHERE bin IS NOT NULL GROUP BY 1")
 def L14_binned(t: Tables) -> DataFrame:
     return R.binned(_metrics(t), "sim", _EDGES, "s", C("s") >= 0.7)
 

@@ -22,6 +22,7 @@ def test_scores(a, b):
     assert abs(fuzzy.ratio(a, b) - fuzzy.ratio(b, a)) < 1e-9 and 0 <= fuzzy.jaro_winkler(a, b) <= 1
     sub = fuzzy.common_substring(a, b)
     assert sub in a and sub in b and not any(a[i : i + len(sub) + 1] in b for i in range(len(a) - len(sub)))
+    assert not any(a[i : i + len(sub)] in b for i in range(a.index(sub)))
 
 
 @settings(max_examples=200, deadline=None)

@@ -31,8 +31,12 @@ def _byte_of_symbol() -> dict[str, int]:
 
 
 def read_vocabulary(path: str = VOCABULARY) -> tuple[list[bytes], list[tuple[int, int]]]:
-    """Bytes of each id in the order of the merges, and for each id the two ids that merge into it (itself twice for a single byte)."""
-    model = json.load(open(path, encoding="utf-8"))["model"]
+    """Bytes of each id in the order of the merges, and for each id the two ids that merge into it (itself twice for a
+    single byte). Files with a normaliser or another way to cut texts into pieces are refused."""
+    whole = json.load(open(path, encoding="utf-8"))
+    model, cut = whole["model"], whole.get("pre_tokenizer") or {}
+    if model.get("type", "BPE") != "BPE" or whole.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        raise ValueError(f"{path} is no byte-level vocabulary whose pieces PATTERN cuts")
     byte, vocab = _byte_of_symbol(), model["vocab"]
     halves = {}
     for merge in model["merges"]:

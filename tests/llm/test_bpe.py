@@ -63,3 +63,11 @@ def test_caches_are_renewed(monkeypatch):
 def test_file_is_dense():
     model = json.load(open(bpe.VOCABULARY, encoding="utf-8"))["model"]
     assert len(bpe.read_vocabulary()[0]) == len(model["merges"]) + 256
+
+
+def test_other_ways_to_cut_texts_are_refused(tmp_path):
+    whole = json.load(open(bpe.VOCABULARY, encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {**whole["pre_tokenizer"], "add_prefix_space": True}}, {"pre_tokenizer": None}):
+        (tmp_path / "v.json").write_text(json.dumps({**whole, **change}), encoding="utf-8")
+        with pytest.raises(ValueError):
+            bpe.read_vocabulary(str(tmp_path / "v.json"))

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_
+from pathlib import Path
 
+import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from larder.operators import rejects
+from larder.session import materialise
 
 
 def read_delimited(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -60,6 +65,34 @@ def write_report(tables: dict[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def write_text_report(tables: dict[str, DataFrame], path: str) -> None:
+    """A folder of text for each table of a report: tab-separated lines behind a line of column names, null as an empty field."""
+    for name, df in tables.items():
+        write_delimited(df.select(*(F.col(f"`{c}`").cast("string") for c in df.columns)), f"{path}/{name}")
+
+
+def write_vectors(df: DataFrame, key: str, v: str, path: str) -> DataFrame:
+    """NPY files of the vectors, one for each task, in a folder that all executors share; file and row of each key.
+
+    Every executor writes under a name of its own and then renames, so a task that runs again replaces its file. Null
+    vectors are left out. Vectors of one task must have one length.
+    """
+    Path(path).mkdir(parents=True, exist_ok=True)
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = pd.concat([pd.DataFrame({key: [], v: []}), *batches])
+        if len(got):
+            name = f"part-{TaskContext.get().partitionId():05d}.npy"
+            at = Path(path) / f"{uuid.uuid4().hex}.tmp"
+            with open(at, "wb") as f:
+                np.save(f, np.array(got[v].tolist()))
+            at.rename(Path(path) / name)
+            yield pd.DataFrame({key: got[key], "file": name, "row": np.arange(len(got))})
+
+    return materialise(df.where(F.col(v).isNotNull()).select(key, v).mapInPandas(run, f"`{key}` {kind}, file string, row long"))
+
+
 def in_chunks(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """F over Arrow batches of df, each of spark.sql.execution.arrow.maxRecordsPerBatch rows at most."""
 

@@ -1,3 +1,6 @@
+import random
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from larder.functions import text as T
@@ -52,3 +55,19 @@ def test_taxonomy(spark):
 def test_sentences(spark):
     df = spark.createDataFrame([("Name.", "NAME", None)], "a string, b string, c string")
     assert df.select(T.product_text(F.col("a"), F.col("b"), F.col("c"), F.lit("en:x-y"), F.lit("i"))).head()[0] == "Name. NAME. x y. i."
+
+
+def test_keys_follow_the_unicode_tables(spark):
+    """T1 and T2 against the standard library, over texts of many scripts."""
+    rng = random.Random(7)
+    blocks = [(0x20, 0x7E), (0xA0, 0x24F), (0x300, 0x36F), (0x370, 0x3FF), (0x400, 0x4FF), (0x1E00, 0x1EFF), (0x2000, 0x206F), (0x2070, 0x218F), (0x3000, 0x30FF), (0xAC00, 0xAC40), (0xFB00, 0xFB06), (0xFF00, 0xFFEE)]
+    texts = ["".join(chr(rng.randint(*rng.choice(blocks))) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, x string").select("i", T.lookup_key(F.col("x")).alias("key"), T.clean_text(F.col("x")).alias("clean")).collect()
+    for r in got:
+        x = texts[r.i]
+        flat = unicodedata.normalize("NFKC", x)
+        low = "".join(c.lower() if c not in "Σİ" else c for c in flat)
+        if not x.strip() or "Σ" in flat or "İ" in flat:
+            continue  # context-dependent lower case
+        assert r.key == " ".join(low.strip().translate({45: " ", 95: " "}).split()), repr(x)
+        assert r.clean == " ".join(flat.split()).translate({45: " ", 95: " "}).strip(), repr(x)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
@@ -29,13 +31,17 @@ def kmeans(df: DataFrame, key: str, v: str, k: int = 12, seed: int = 42, starts:
     return out
 
 
-def elbow(df: DataFrame, v: str, ks: range = range(2, 21), seed: int = 42, starts: int = 10) -> DataFrame:
-    """K, inertia, silhouette (by squared Euclidean distance) of the cheapest of `starts` runs for each k."""
+def elbow(df: DataFrame, v: str, ks: range = range(2, 21), seed: int = 42, starts: int = 10, at_once: int = 8) -> DataFrame:
+    """K, inertia, silhouette (by squared Euclidean distance) of the cheapest of `starts` runs for each k; `at_once` ks are fitted side by side."""
     f = _features(df.select(v), v).cache()
-    rows = []
-    for k in ks:
+    f.count()  # cached before the fits share it
+
+    def one(k: int) -> tuple[int, float, float]:
         m = _cheapest(f, k, seed, starts)
-        rows.append((k, float(m.summary.trainingCost), float(ClusteringEvaluator(featuresCol="__f", predictionCol="cluster").evaluate(m.transform(f)))))
+        return k, float(m.summary.trainingCost), float(ClusteringEvaluator(featuresCol="__f", predictionCol="cluster").evaluate(m.transform(f)))
+
+    with ThreadPoolExecutor(at_once) as pool:
+        rows = list(pool.map(one, ks))
     f.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
 

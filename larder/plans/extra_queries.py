@@ -20,7 +20,7 @@ _COUNTED = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for
 _TOP = f"greatest({', '.join(COMMON)})"
 
 
-@query(f"""WITH t AS (SELECT doc_id, regexp_replace(text, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS s FROM documents), c AS (SELECT doc_id, s, regexp_extract_all(lower(s), '[\p{{L}}\p{{Nl}}\p{{No}}]+') AS w FROM t), n AS (SELECT doc_id, s, {_COUNTED} FROM c)
+@query(rf"""WITH t AS (SELECT doc_id, regexp_replace(text, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS s FROM documents), c AS (SELECT doc_id, s, regexp_extract_all(lower(s), '[\p{{L}}\p{{Nl}}\p{{No}}]+') AS w FROM t), n AS (SELECT doc_id, s, {_COUNTED} FROM c)
 SELECT doc_id, CASE WHEN length(s) < 10 OR {_TOP} = 0 THEN NULL {" ".join(f"WHEN {lang} = {_TOP} THEN '{lang}'" for lang in sorted(COMMON))} END AS lang FROM n""")
 def T30_language(t: Tables) -> DataFrame:
     return detect_language(t.documents, "text", ("doc_id",))

@@ -81,9 +81,7 @@ def _grams(x: str, n: int) -> str:
 
 @query(f"SELECT row_id, round({_jac(_grams('a', 2), _grams('b', 2))}, 6) AS j2, round({_jac(_grams('a', 3), _grams('b', 3))}, 6) AS j3 FROM {_P}")
 def L9_gram_jaccard(t: Tables) -> DataFrame:
-    # The sets are columns of their own, so that each is made once.
-    g = _pairs(t).select("row_id", *(L.char_grams(C(c), n).alias(f"{c}{n}") for c in "ab" for n in (2, 3)))
-    return g.select("row_id", *(F.round(L.jaccard(C(f"a{n}"), C(f"b{n}")), 6).alias(f"j{n}") for n in (2, 3)))
+    return _pairs(t).select("row_id", *(F.round(L.gram_jaccard(C("a"), C("b"), n), 6).alias(f"j{n}") for n in (2, 3)))
 
 
 @query(f"SELECT row_id, contains(lower(b), lower(a)) AS a_in_b, contains(lower(a), lower(b)) AS b_in_a, round(coalesce(least(length(a), length(b)) / nullif(greatest(length(a), length(b)), 0), 0), 6) AS len_ratio, len(list_intersect({_set('a')}, {_set('b')})) > 0 AS exact_token FROM {_P}")

@@ -2,7 +2,6 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from larder.llm import langid
 from larder.operators import packed
 from larder.operators.packed import LABEL_TEXT, NAMES, TAGS, split_array, split_cells
 
@@ -46,7 +45,6 @@ def test_long_captions():
     script = "Состав начинки и глазури этого замечательного продукта"
     assert len(long) > 61 and len(script.encode()) > 61
     assert split(f"{long}: milk, salt. {script}: соль", LABEL_TEXT) == ["milk", "salt", "соль"]
-    assert langid.parts([f"{long}: milk, salt"]) == [(["milk", "salt"], [long, ""])]
 
 
 def test_other_styles():

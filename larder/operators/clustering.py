@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.operators.reports import pct
+from larder.session import materialise
 
 
 def _features(df: DataFrame, v: str) -> DataFrame:
@@ -26,7 +27,7 @@ def _cheapest(f: DataFrame, k: int, seed: int, starts: int) -> KMeansModel:
 def kmeans(df: DataFrame, key: str, v: str, k: int = 12, seed: int = 42, starts: int = 10) -> DataFrame:
     """C4: key, cluster of the cheapest of `starts` runs."""
     f = _features(df.select(key, v), v).cache()
-    out = _cheapest(f, k, seed, starts).transform(f).select(key, "cluster")
+    out = materialise(_cheapest(f, k, seed, starts).transform(f).select(key, "cluster"))  # written while the rows are cached
     f.unpersist()
     return out
 
